@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, text_column
+from .common import bounded, chunked, text_column
 
 #: Pieces in the lexicon, and bytes of the longest one.
 LEXICON, LONGEST = 65536, 32
 _CUT = re.compile(rb" (?![\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3]|\Z)")
 _MAGIC = b"SKTRANS1"
-_BATCH = 8 << 20
+_BATCH = 4 << 20
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -202,7 +202,7 @@ def frequent_pieces(docs: DataFrame, size: int = LEXICON) -> list[bytes]:
         kept = [(p, n) for p, n in seen.items() if len(p) <= LONGEST]
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["piece", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = bounded(docs).select("text").mapInArrow(count, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     return [bytes(r["piece"]) for r in counts.where("n > 1").orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()]
 
 
@@ -231,7 +231,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = None)
                 decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs).select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = None) -> DataFrame:
@@ -244,4 +244,4 @@ def token_ids(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = None
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in codec.encode(text_column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, ids array<int>")
+    return bounded(docs).select("doc_id", "text").mapInArrow(rows, "doc_id bigint, ids array<int>")

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised code handles at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows in an Arrow batch on its way to a worker, so that long texts do not fill its memory.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session now sends workers batches of at most BATCH_ROWS rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -86,4 +94,4 @@ def filtered(df: DataFrame, keep_mask, text_col: str = "text") -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(mask_of(text_column(batch, text_col)), pa.bool_()))
 
-    return df.mapInArrow(rows, df.schema)
+    return bounded(df).mapInArrow(rows, df.schema)

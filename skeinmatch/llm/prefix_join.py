@@ -7,7 +7,8 @@ Steps:
    Sets at similarity 3/4 share a prefix shingle. Documents with equal prefix and size form a group, which is indexed once.
 3. Groups meet by prefix shingle, in packed blocks. A list of up to ALL_PAIRS groups gives its pairs, by length and
    position filter; a longer one gives each member's pairs with a few centres, and is kept for step 5.
-4. Pairs of members are verified on their whole sets; links give components.
+4. Pairs of members pass a bitmap filter: parities of hash cells bound the symmetric difference of two sets from below.
+   What passes is verified on the whole sets; links give components.
 5. Of the kept lists and of groups with many members, only members whose components still differ are paired and verified.
    A pair inside a component could only confirm it, so the components are exact.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_column, written
+from .common import bounded, mix, text_column, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -32,6 +33,8 @@ CELLS_LOG2 = 22
 ALL_PAIRS = 12
 #: Centres of a longer list.
 CENTRES = 3
+#: Most ids that are broadcast to pick the texts to verify; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _SLICES = 64
 
 
@@ -50,7 +53,7 @@ def _counted(batches):
             held.append((s >> np.uint64(64 - CELLS_LOG2)).astype(np.int32))
             size += len(s)
             total += len(s)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 flush()
                 size = 0
     flush()
@@ -85,7 +88,7 @@ def _prefixed(shared):
     def rows(batches):
         classes = shared.value
         for batch in batches:
-            ids, n, cid, gid, prefixes = batch.column(batch.schema.names.index("doc_id")), [], [], [], []
+            ids, n, cid, gid, prefixes, bits = batch.column(batch.schema.names.index("doc_id")), [], [], [], [], []
             for s in shingle_sets(text_column(batch, "text")):
                 n.append(len(s))
                 cid.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -95,19 +98,42 @@ def _prefixed(shared):
                 p = s[: len(s) // 4 + 1].tobytes()  # n - ceil(3n/4) = floor(n/4)
                 gid.append(hashlib.blake2b(p, digest_size=16, salt=str(len(s)).encode()[:16]).digest())
                 prefixes.append(p)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(gid, pa.binary()), pa.array(prefixes, pa.binary())], ["doc_id", "n", "cid", "gid", "prefix"])
+                bits.append(_parities(s))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cid, gid, prefixes, bits))], ["doc_id", "n", "cid", "gid", "prefix", "bits"])
 
     return rows
 
 
+def _parities(s: np.ndarray) -> bytes:
+    """Whether each of m cells, a power of two near twice the set's size, holds an odd number of its hashes."""
+    m = 1 << max(6, (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
+
+
+def _near_enough(batches):
+    """Pairs whose parities differ in no more cells than sets at similarity 3/4 may differ in shingles, (n1 + n2) / 7."""
+
+    def folded(a, size):
+        return np.bitwise_xor.reduce(a.reshape(-1, size), axis=0)  # cells of a larger table that agree modulo the smaller
+
+    for batch in batches:
+        keep = []
+        for n1, n2, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            size = min(len(x), len(y))
+            keep.append(7 * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= n1 + n2)
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
 _ENTRY = np.dtype([("token", "<u8"), ("group", "<u2"), ("place", "<u2")])
 _GROUP = np.dtype([("id", "V16"), ("n", "<u4")])
 
 
 def _packed(buckets: int):
-    """Rows (bucket, groups, entries): prefix entries of many groups, by ranges of the shingle hash."""
+    """Rows (bucket, groups, entries): prefix entries of many groups, by ranges of the shingle hash. Equal groups of a task go once."""
 
     def flush(held):
+        held = [(g, n, p) for g, (n, p) in held.items()]
         groups = np.array([(g, n) for g, n, _ in held], _GROUP)
         sizes = [len(p) for _, _, p in held]
         e = np.empty(sum(sizes), _ENTRY)
@@ -128,14 +154,16 @@ def _packed(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "groups", "entries"])
 
     def rows(batches):
-        held, size = [], 0
+        held, size = {}, 0
         for batch in batches:
             for g, n, p in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                held.append((g, n, np.frombuffer(p, np.uint64)))
-                size += len(held[-1][2])
-                if len(held) == 65535 or size > 3_000_000:
+                if g in held:
+                    continue
+                held[g] = (n, np.frombuffer(p, np.uint64))
+                size += len(p) // 8
+                if len(held) == 65535 or size > 1_200_000:
                     yield flush(held)
-                    held, size = [], 0
+                    held, size = {}, 0
         if held:
             yield flush(held)
 
@@ -165,6 +193,10 @@ def _met(batches):
         token = np.concatenate([e["token"] for _, e in held])
         group = np.concatenate([e["group"].astype(np.int64) + k for k, (_, e) in zip(base, held)])
         place = np.concatenate([e["place"] for _, e in held])
+        # A group that several tasks sent: its first copy stays.
+        _, one, same = np.unique(np.frombuffer(groups["id"].tobytes(), np.uint64).reshape(-1, 2), axis=0, return_index=True, return_inverse=True)
+        only = one[same.ravel()][group] == group
+        token, group, place = token[only], group[only], place[only]
         order = np.argsort(token, kind="stable")
         token, group, place = token[order], group[order], place[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -224,9 +256,13 @@ def _verified(batches):
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of set digests, those at similarity 3/4 or more, by their whole sets."""
+    first = pairs.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), "a")
+    full = first.join(classes.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), "b")
+    pairs = written(full.select("a", "b", "n1", "n2", "x", "y").mapInArrow(_near_enough, "a binary, b binary"), "near")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     ids = written(classes.join(ends, "cid", "left_semi").select(F.col("rep").alias("doc_id")), "ends")
-    sets = written(docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "cid binary, shingles binary").dropDuplicates(["cid"]), "sets")
+    held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = written(docs.join(held, "doc_id", "left_semi").select("text").mapInArrow(_sets, "cid binary, shingles binary").dropDuplicates(["cid"]), "sets")
     first = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     full = first.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
     return written(full.mapInArrow(_verified, "a binary, b binary"), "verified")
@@ -242,14 +278,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Null, empty or wordless text: an empty set, linked with nothing, its own component. Equal sets: one class. Repeated
     rows give equal rows. No rows give none. Null ids get the component's smallest id. Other columns are not read."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = bounded(docs.select("doc_id", "text"))
     shared = spark.sparkContext.broadcast(frequency_classes(docs))
-    rows = written(docs.mapInArrow(_prefixed(shared), "doc_id bigint, n bigint, cid binary, gid binary, prefix binary"), "prefixes")
-    classes = written(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("gid").alias("gid")), "classes")
-    groups = rows.where("n > 0").groupBy("gid").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"))
+    rows = written(docs.mapInArrow(_prefixed(shared), "doc_id bigint, n bigint, cid binary, gid binary, prefix binary, bits binary"), "prefixes")
+    classes = written(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("gid").alias("gid"), F.max("bits").alias("bits")), "classes")
     entries = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // 2_000_000))
-    packed = groups.select("gid", "n", "prefix").mapInArrow(_packed(buckets), "bucket int, groups binary, entries binary")
+    packed = rows.where("n > 0").select("gid", "n", "prefix").mapInArrow(_packed(buckets), "bucket int, groups binary, entries binary")
     found = written(packed.repartition(buckets, "bucket").mapInArrow(_met, "kind int, token bigint, a binary, b binary, n bigint, place bigint"), "found")
 
     # Centres of groups stand for them; each member is also paired with its own centre.

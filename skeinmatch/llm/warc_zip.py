@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_uri, fresh_path, open_fs, written
+from .common import as_uri, bounded, fresh_path, open_fs, written
 
 #: Equal payloads from this size on are written once.
 REVISIT_BYTES = 100
@@ -168,7 +168,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     folder = as_uri(fresh_path(spark, "archives"))
     fs, base = open_fs(folder)
     fs.create_dir(base, recursive=True)
-    return written(decided(pages.select("page_id", "url", "html")).mapInArrow(_writer(folder), "folder string, path string, records bigint"), "manifest")
+    return written(decided(bounded(pages).select("page_id", "url", "html")).mapInArrow(_writer(folder), "folder string, path string, records bigint"), "manifest")
 
 
 def records(file, size: int):

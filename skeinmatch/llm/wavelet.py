@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_uri, chunked, fresh_path, open_fs, text_column, written
+from .common import as_uri, bounded, chunked, fresh_path, open_fs, text_column, written
 
 END = 1
 #: Tokens after which a partition begins another shard file.
@@ -245,7 +245,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     fs, base = open_fs(folder)
     fs.create_dir(base, recursive=True)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = bounded(docs).select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = written(ordered.mapInArrow(_writer(folder, tokenizer_path), _MANIFEST), "manifest")
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a partition
     total, base_of = 0, []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, text_column
+from .common import bounded, filtered, text_column
 
 #: Labelled rows of each class from which words are chosen and the models fitted, at most (in expectation).
 PER_CLASS = 8000
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains=None) -> Model:
         return Model({}, np.r_[-20.0, np.zeros(LEXICON_VOTERS + 6)])
     share = F.when(F.col("toxic") == 1, min(1000000, 1000000 * PER_CLASS // sizes[1])).otherwise(min(1000000, 1000000 * PER_CLASS // sizes[0]))
     ids = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1000000)) < share)  # bounded by 2 PER_CLASS, so it may be broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
+    sample = bounded(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
 
     def count(batches):
         seen, n = (Counter(), Counter()), [0, 0]
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = m.score(text_column(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, score double, predicted int")
+    return bounded(docs).select("doc_id", "text").mapInArrow(rows, "doc_id bigint, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
