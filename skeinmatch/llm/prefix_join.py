@@ -30,11 +30,13 @@ from .shingles import shingle_sets
 #: Cells of the table of shingle counts (4 bytes each on a worker, 1 byte each broadcast).
 CELLS_LOG2 = 22
 #: Longest list of groups that gives all its pairs at once.
-ALL_PAIRS = 12
+ALL_PAIRS = 6
 #: Centres of a longer list.
-CENTRES = 3
+CENTRES = 2
 #: Most ids that are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: 64-bit words of the short parity table that prunes pairs within a join.
+WORDS = 8
 _SLICES = 64
 
 
@@ -88,7 +90,7 @@ def _prefixed(shared):
     def rows(batches):
         classes = shared.value
         for batch in batches:
-            ids, n, cid, gid, prefixes, bits = batch.column(batch.schema.names.index("doc_id")), [], [], [], [], []
+            ids, n, cid, gid, prefixes, bits, words = batch.column(batch.schema.names.index("doc_id")), [], [], [], [], [], []
             for s in shingle_sets(text_column(batch, "text")):
                 n.append(len(s))
                 cid.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -99,7 +101,8 @@ def _prefixed(shared):
                 gid.append(hashlib.blake2b(p, digest_size=16, salt=str(len(s)).encode()[:16]).digest())
                 prefixes.append(p)
                 bits.append(_parities(s))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cid, gid, prefixes, bits))], ["doc_id", "n", "cid", "gid", "prefix", "bits"])
+                words.append(np.packbits(np.bincount((s >> np.uint64(32) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cid, gid, prefixes, bits)), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "n", "cid", "gid", "prefix", "bits", "words"])
 
     return rows
 
@@ -280,8 +283,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = bounded(docs.select("doc_id", "text"))
     shared = spark.sparkContext.broadcast(frequency_classes(docs))
-    rows = written(docs.mapInArrow(_prefixed(shared), "doc_id bigint, n bigint, cid binary, gid binary, prefix binary, bits binary"), "prefixes")
-    classes = written(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("gid").alias("gid"), F.max("bits").alias("bits")), "classes")
+    rows = written(docs.mapInArrow(_prefixed(shared), "doc_id bigint, n bigint, cid binary, gid binary, prefix binary, bits binary, words array<bigint>"), "prefixes")
+    classes = written(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("gid").alias("gid"), F.max("bits").alias("bits"), F.max("words").alias("words")), "classes")
     entries = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // 2_000_000))
     packed = rows.where("n > 0").select("gid", "n", "prefix").mapInArrow(_packed(buckets), "bucket int, groups binary, entries binary")
@@ -299,12 +302,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels = components(links, vertices)
 
     # What the centres could not settle: members of different components that share a long list, or a pair of groups with many members.
-    member = written(classes.join(labels.select(F.col("v").alias("cid"), F.struct("component").alias("linked")), "cid", "left").select("cid", "gid", "n", F.coalesce(F.concat(F.lit("c"), F.col("linked.component").cast("string")), F.hex("cid")).alias("part")), "members")
+    member = written(classes.join(labels.select(F.col("v").alias("cid"), F.struct("component").alias("linked")), "cid", "left").select("cid", "gid", "n", *(F.col("words")[k].alias(f"w{k}") for k in range(WORDS)), F.coalesce(F.concat(F.lit("c"), F.col("linked.component").cast("string")), F.hex("cid")).alias("part")), "members")
     lists = found.where("kind = 1").select("token", F.col("a").alias("gid"), "place").join(member, "gid")
     open_lists = lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
     lists = lists.join(open_lists, "token", "left_semi")
     l, r = lists.alias("l"), lists.alias("r")
-    apart = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.part") < F.col("r.part")) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n")) & (7 * F.least(F.expr("l.n - l.place"), F.expr("r.n - r.place")) >= 3 * (F.expr("l.n + r.n"))))
+    differ = sum((F.bit_count(F.col(f"l.w{k}").bitwiseXOR(F.col(f"r.w{k}"))) for k in range(WORDS)), F.lit(0))
+    apart = l.join(r, (7 * differ <= F.expr("l.n + r.n")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.part") < F.col("r.part")) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n")) & (7 * F.least(F.expr("l.n - l.place"), F.expr("r.n - r.place")) >= 3 * (F.expr("l.n + r.n"))))
     more = apart.select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b"))
     many = centres.where("members > 1").select("gid")
     meeting = found.where("kind = 0").select("a", "b").distinct()
