@@ -3,8 +3,8 @@
 Sentences of a text that may state a licence are compared with licence templates by the cosine of sparse TF-IDF vectors; then
 files without a licence of their own inherit that of the nearest ancestor directory with a licence file, by joins on the paths.
 
-Which sentences may: by Cauchy's inequality one that lacks a template's heaviest terms, which hold over 1 - THRESHOLD**2 of its
-squared length, cannot reach THRESHOLD. So a sentence must hold one of those terms of some template; the test loses nothing.
+Which sentences may: by Cauchy's inequality one that lacks terms which hold over 1 - THRESHOLD**2 of a template's
+squared length cannot reach THRESHOLD. So a sentence must hold one of those terms of some template; the test loses nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 THRESHOLD = 0.75
 # The short notices by which these licences are commonly stated.
 TEMPLATES = {
@@ -30,6 +32,8 @@ TEMPLATES = {
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Words of every day, which the test for candidate sentences leans on last.
+COMMON = frozenset("a an and are as at be by file for free from in into is it of on or released terms that the this to under version was which with work".split())
 _TERM = r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]"
 
 
@@ -47,7 +51,7 @@ def template_weights(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[
         norm = math.sqrt(sum(x * x for x in v.values()))
         rows += [(k, w, x / norm) for w, x in v.items()]
         mass = 0.0
-        for w, x in sorted(v.items(), key=lambda p: (-p[1], -len(p[0]), p[0])):
+        for w, x in sorted(v.items(), key=lambda p: (p[0] in COMMON, -p[1], -len(p[0]), p[0])):
             needed.add(w)
             mass += (x / norm) ** 2
             if mass > 1 - THRESHOLD**2 + 1e-9:
@@ -68,13 +72,13 @@ def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     rows, idf, other, needed = template_weights(templates)
     terms = spark.createDataFrame([(w, x) for w, x in idf.items()], "term string, idf double")
     weights = spark.createDataFrame(rows, "license string, term string, weight double")
-    words = sentences(files, needed).select("id", "at", F.explode(F.regexp_extract_all("sentence", F.lit(f"({_TERM})"), F.lit(1))).alias("term"))
+    words = written(sentences(files, needed), "sentences").select("id", "at", F.explode(F.regexp_extract_all("sentence", F.lit(f"({_TERM})"), F.lit(1))).alias("term"))
     tf = words.groupBy("id", "at", "term").agg(F.count("*").alias("tf")).join(F.broadcast(terms), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     norm = tf.groupBy("id", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = tf.join(F.broadcast(weights), "term").groupBy("id", "at", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norm, ["id", "at"]).select("id", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= THRESHOLD)
     best = scored.groupBy("id", "license").agg(F.max("cosine").alias("cosine")).groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("b"))
-    return best.select("id", "b.license", (-F.col("b.less")).alias("cosine"))
+    return written(best.select("id", "b.license", (-F.col("b.less")).alias("cosine")), "licenses")
 
 
 def ancestors(path):
