@@ -17,17 +17,20 @@ import os
 import re
 import struct
 import tempfile
+from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, chunked, text_column
+from .common import Memo, bounded, chunked, text_column, written
 
 #: Pieces in the lexicon, and bytes of the longest one.
 LEXICON, LONGEST = 65536, 32
+# Fixed value: the byte-level vocabulary's word pattern, for ASCII.
+_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _CUT = re.compile(rb" (?![\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3]|\Z)")
 _MAGIC = b"SKTRANS1"
 _BATCH = 4 << 20
@@ -141,25 +144,53 @@ class Codec:
         self.transducer, self.tokenizer = transducer, Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model, self.shown, self.memo = self.tokenizer.model, byte_letters(), Memo.of_process("pieces:" + tokenizer_path)
         self.table = token_bytes(tokenizer_path)
 
     def encode(self, texts: list[bytes | None]):
         """Yields the ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         for lo, hi in chunked(texts, _BATCH):
             cut = [pieces(t) if t else [] for t in texts[lo:hi]]
-            seen = list(dict.fromkeys(p for x in cut for p in x))
-            ranks = self.transducer.ranks(seen)
-            new = [p for p, r in zip(seen, ranks.tolist()) if r < 0]
-            merged = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-            ids = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in merged)))
-            starts, held = self.transducer.starts, self.transducer.ids
-            known = ranks >= 0
-            for p, b, e in zip((p for p, k in zip(seen, known.tolist()) if k), starts[ranks[known]].tolist(), starts[ranks[known] + 1].tolist()):
-                ids[p] = held[b:e].tobytes()
-            get = ids.__getitem__
+            get = self._pieces(list(dict.fromkeys(p for x in cut for p in x))).__getitem__
             for x in cut:
                 yield b"".join(map(get, x))
 
+    def _known(self, words: list[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
+        """Ids of the words in the lexicon, and the others."""
+        ranks = self.transducer.ranks(words)
+        found = ranks[ranks >= 0]
+        starts, held = self.transducer.starts, self.transducer.ids
+        new = [w for w, r in zip(words, ranks.tolist()) if r < 0]
+        old = (w for w, r in zip(words, ranks.tolist()) if r >= 0)
+        return {w: held[b:e].tobytes() for w, b, e in zip(old, starts[found].tolist(), starts[found + 1].tolist())}, new
+
+    def _pieces(self, seen: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each piece: by the lexicon; else, if ASCII, word by word of the pattern, by the lexicon or merged by the library's
+        model; else by the whole library tokenizer."""
+        ids, new = self._known(seen)
+        parts, other = {}, []
+        for p in new:
+            if p.isascii() and b"<|" not in p:
+                parts[p] = _WORD.findall(p)
+            else:
+                kept = self.memo.get(p + b" ")  # no piece ends in a space that follows another byte, so the keys differ from words
+                if kept is None:
+                    other.append(p)
+                else:
+                    ids[p] = kept
+        words, unseen = self._known(list(dict.fromkeys(w for x in parts.values() for w in x)))
+        memo, model, shown = self.memo, self.model, self.shown
+        for w in unseen:
+            got = memo.get(w)
+            if got is None:
+                got = memo[w] = array("I", [t.id for t in model.tokenize(w.decode("latin-1").translate(shown))]).tobytes()
+            words[w] = got
+        for p, x in parts.items():
+            ids[p] = b"".join(map(words.__getitem__, x))
+        for p, e in zip(other, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in other], add_special_tokens=False)):
+            ids[p] = memo[p + b" "] = array("I", e.ids).tobytes()
+        return ids
+
     def decode(self, ids: bytes) -> bytes:
         """The text's UTF-8; bytes that are not UTF-8 become replacement characters."""
         out = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -174,10 +205,15 @@ def _is_utf8(data: bytes) -> bool:
     return True
 
 
-def token_bytes(tokenizer_path: str) -> list[bytes]:
-    """The bytes of each id of a byte-level vocabulary: printable bytes stand for themselves, the others for 256 and up, in order."""
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 up, in order."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+def token_bytes(tokenizer_path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    back = {c: b for b, c in byte_letters().items()}
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = json.load(f)
     table = {i: bytes(back[c] for c in t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
@@ -185,7 +221,7 @@ def token_bytes(tokenizer_path: str) -> list[bytes]:
 
 
 def frequent_pieces(docs: DataFrame, size: int = LEXICON) -> list[bytes]:
-    """The `size` most frequent pieces over all documents, ties by bytes; the list is bounded, the counts are not."""
+    """The most frequent pieces over all documents, at most `size`; pieces of one count are all taken or none."""
 
     def count(batches):
         seen: Counter = Counter()
@@ -203,7 +239,12 @@ def frequent_pieces(docs: DataFrame, size: int = LEXICON) -> list[bytes]:
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["piece", "n"])
 
     counts = bounded(docs).select("text").mapInArrow(count, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [bytes(r["piece"]) for r in counts.where("n > 1").orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()]
+    counts = written(counts.where("n > 1"), "pieces")
+    # The least count that leaves at most `size` pieces, from a row for each different count; then only those pieces come here.
+    histogram = counts.groupBy("n").agg(F.count("*").alias("pieces"))
+    above = histogram.withColumn("total", F.sum("pieces").over(Window.orderBy(F.desc("n"))))
+    least = above.where(F.col("total") <= size).agg(F.min("n")).first()[0]
+    return [] if least is None else [bytes(r["piece"]) for r in counts.where(F.col("n") >= least).select("piece").collect()]
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON) -> bytes:

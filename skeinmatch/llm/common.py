@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -75,6 +77,36 @@ def chunked(texts: list[bytes | None], limit: int = CHUNK_BYTES):
         yield lo, len(texts)
 
 
+class Memo:
+    """A bounded map that forgets the older half when full. One of a name lives as long as the worker process."""
+
+    def __init__(self, half: int):
+        self.half, self.young, self.old = half, {}, {}
+
+    def __contains__(self, key) -> bool:
+        return key in self.young or key in self.old
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self[key] = value
+        return value
+
+    def __setitem__(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    @staticmethod
+    def of_process(name: str, half: int = 200_000) -> Memo:
+        store = sys.modules.setdefault("_skeinmatch_memos", types.ModuleType("_skeinmatch_memos"))
+        if not hasattr(store, name):
+            setattr(store, name, Memo(half))
+        return getattr(store, name)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(32))
