@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_uri, bounded, chunked, fresh_path, open_fs, text_column, written
+from .bpe_transducer import byte_letters
+from .common import Memo, as_uri, bounded, chunked, fresh_path, open_fs, text_column, written
 
 END = 1
 #: Tokens after which a partition begins another shard file.
@@ -171,29 +174,52 @@ class Shard:
 
 
 class WordEncoder:
-    """Ids of texts by a vocabulary whose normaliser and word pattern drop white space: no token crosses ASCII white space, so each
-    run of other bytes is encoded once by the tokenizers library and remembered (up to a bound)."""
+    """Ids of texts by a vocabulary whose normaliser and word pattern drop white space.
 
-    KEPT = 300_000
+    No token crosses ASCII white space, so each different run of other bytes is encoded once a block. An ASCII run is cut into words by the
+    vocabulary's pattern and the words go to the library's model; other runs, and those that may hold a special token, go
+    through the whole library tokenizer."""
+
+    # Fixed value: the vocabulary's word pattern, for lower-case ASCII.
+    WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(tokenizer_path), {}
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.shown = byte_letters()
+        self.memo = Memo.of_process("words:" + tokenizer_path)
+
+    def _word(self, w: bytes) -> bytes:
+        ids = self.memo.get(w)
+        if ids is None:
+            ids = self.memo[w] = array("I", [t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.shown))]).tobytes()
+        return ids
+
+    def _runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        out, other, word = {}, [], self._word
+        for r in runs:
+            if r.isascii() and b"<|" not in r:
+                out[r] = b"".join(map(word, self.WORD.findall(r.lower())))
+            else:
+                ids = self.memo.get(r + b" ")  # no word ends in white space, so runs and words do not meet
+                if ids is None:
+                    other.append(r)
+                else:
+                    out[r] = ids
+        for r, e in zip(other, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in other], add_special_tokens=False)):
+            out[r] = self.memo[r + b" "] = array("I", e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[bytes | None]):
         """Yields the ids of each text as little-endian unsigned 32-bit integers."""
         for lo, hi in chunked(texts, 4 << 20):
             cut = [t.split() if t else [] for t in texts[lo:hi]]
-            if len(self.memo) > self.KEPT:
-                self.memo = {}
-            new = [w for w in dict.fromkeys(w for x in cut for w in x) if w not in self.memo]
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-            get = self.memo.__getitem__
+            get = self._runs(list(dict.fromkeys(r for x in cut for r in x))).__getitem__
             for x in cut:
                 yield b"".join(map(get, x))
 
