@@ -33,7 +33,7 @@ LEXICON, LONGEST = 65536, 32
 _WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _CUT = re.compile(rb" (?![\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3]|\Z)")
 _MAGIC = b"SKTRANS1"
-_BATCH = 4 << 20
+_BATCH = 2 << 20
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -144,16 +144,14 @@ class Codec:
         self.transducer, self.tokenizer = transducer, Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.shown, self.memo = self.tokenizer.model, byte_letters(), Memo.of_process("pieces:" + tokenizer_path)
+        self.model, self.shown, self.memo = self.tokenizer.model, byte_letters(), Memo.of_process("pieces:" + tokenizer_path, 80_000)
         self.table = token_bytes(tokenizer_path)
 
     def encode(self, texts: list[bytes | None]):
         """Yields the ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         for lo, hi in chunked(texts, _BATCH):
             cut = [pieces(t) if t else [] for t in texts[lo:hi]]
-            get = self._pieces(list(dict.fromkeys(p for x in cut for p in x))).__getitem__
-            for x in cut:
-                yield b"".join(map(get, x))
+            yield from map(b"".join, self.memo.values(cut, self._pieces))
 
     def _known(self, words: list[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
         """Ids of the words in the lexicon, and the others."""
@@ -168,27 +166,16 @@ class Codec:
         """Ids of each piece: by the lexicon; else, if ASCII, word by word of the pattern, by the lexicon or merged by the library's
         model; else by the whole library tokenizer."""
         ids, new = self._known(seen)
-        parts, other = {}, []
-        for p in new:
-            if p.isascii() and b"<|" not in p:
-                parts[p] = _WORD.findall(p)
-            else:
-                kept = self.memo.get(p + b" ")  # no piece ends in a space that follows another byte, so the keys differ from words
-                if kept is None:
-                    other.append(p)
-                else:
-                    ids[p] = kept
+        parts = {p: _WORD.findall(p) for p in new if p.isascii() and b"<|" not in p}
+        other = [p for p in new if p not in parts]
         words, unseen = self._known(list(dict.fromkeys(w for x in parts.values() for w in x)))
-        memo, model, shown = self.memo, self.model, self.shown
+        tokenize, shown = self.model.tokenize, self.shown
         for w in unseen:
-            got = memo.get(w)
-            if got is None:
-                got = memo[w] = array("I", [t.id for t in model.tokenize(w.decode("latin-1").translate(shown))]).tobytes()
-            words[w] = got
+            words[w] = array("I", [t.id for t in tokenize(w.decode("latin-1").translate(shown))]).tobytes()
         for p, x in parts.items():
             ids[p] = b"".join(map(words.__getitem__, x))
         for p, e in zip(other, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in other], add_special_tokens=False)):
-            ids[p] = memo[p + b" "] = array("I", e.ids).tobytes()
+            ids[p] = array("I", e.ids).tobytes()
         return ids
 
     def decode(self, ids: bytes) -> bytes:
@@ -229,7 +216,7 @@ def frequent_pieces(docs: DataFrame, size: int = LEXICON) -> list[bytes]:
             for t in text_column(batch, "text"):
                 if t:
                     seen.update(pieces(t))
-            if len(seen) > 1_000_000:
+            if len(seen) > 250_000:
                 yield row(seen)
                 seen = Counter()
         yield row(seen)

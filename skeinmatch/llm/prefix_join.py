@@ -55,7 +55,7 @@ def _counted(batches):
             held.append((s >> np.uint64(64 - CELLS_LOG2)).astype(np.int32))
             size += len(s)
             total += len(s)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 flush()
                 size = 0
     flush()
@@ -164,7 +164,7 @@ def _packed(buckets: int):
                     continue
                 held[g] = (n, np.frombuffer(p, np.uint64))
                 size += len(p) // 8
-                if len(held) == 65535 or size > 1_200_000:
+                if len(held) == 65535 or size > 800_000:
                     yield flush(held)
                     held, size = {}, 0
         if held:

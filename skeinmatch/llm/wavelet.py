@@ -43,7 +43,7 @@ class WaveletMatrix:
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
         zeros, planes, a = [], [], values
         for k in reversed(range(bits)):
-            bit = (a >> k & 1).astype(bool)
+            bit = (a & a.dtype.type(1 << k)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             low = a[~bit]
             zeros.append(len(low))
@@ -107,12 +107,13 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """All values, from the lowest plane up."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for k, (z, plane) in enumerate(zip(reversed(self.zeros), reversed(self.planes))):
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
-            above = np.empty(self.n, np.uint32)
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            above = np.empty(self.n, kind)
             above[~bit] = out[:z]
-            above[bit] = out[z:] | np.uint32(1 << k)
+            above[bit] = out[z:] | kind(1 << k)
             out = above
         return out
 
@@ -176,12 +177,14 @@ class Shard:
 class WordEncoder:
     """Ids of texts by a vocabulary whose normaliser and word pattern drop white space.
 
-    No token crosses ASCII white space, so each different run of other bytes is encoded once a block. An ASCII run is cut into words by the
-    vocabulary's pattern and the words go to the library's model; other runs, and those that may hold a special token, go
+    No token crosses ASCII white space, so a run of other bytes is encoded when it is first met. A run of ASCII and European letters is cut into
+    words by the vocabulary's pattern and the words go to the library's model; other runs, and those that may hold a special token, go
     through the whole library tokenizer."""
 
-    # Fixed value: the vocabulary's word pattern, for lower-case ASCII.
-    WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    # The vocabulary's word pattern for lower-case text of ASCII and the letters U+00C0 to U+017F, in UTF-8; a line
+    # break parts runs. Then the runs it serves: dotted capital I is left out, as its lower case is two characters.
+    WORD = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+    PLAIN = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])*")
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -192,36 +195,31 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.shown = byte_letters()
-        self.memo = Memo.of_process("words:" + tokenizer_path)
-
-    def _word(self, w: bytes) -> bytes:
-        ids = self.memo.get(w)
-        if ids is None:
-            ids = self.memo[w] = array("I", [t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.shown))]).tobytes()
-        return ids
-
-    def _runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        out, other, word = {}, [], self._word
-        for r in runs:
-            if r.isascii() and b"<|" not in r:
-                out[r] = b"".join(map(word, self.WORD.findall(r.lower())))
-            else:
-                ids = self.memo.get(r + b" ")  # no word ends in white space, so runs and words do not meet
-                if ids is None:
-                    other.append(r)
-                else:
-                    out[r] = ids
+        self.runs, self.words = Memo.of_process("runs:" + tokenizer_path, 200_000), Memo.of_process("words:" + tokenizer_path, 100_000)
+
+    def _merged(self, words: list[bytes]) -> dict[bytes, bytes]:
+        tokenize, shown = self.model.tokenize, self.shown
+        made = {w: array("I", [t.id for t in tokenize(w.decode("latin-1").translate(shown))]).tobytes() for w in words}
+        if b"\n" in made:
+            made[b"\n"] = b"\xff\xff\xff\xff"  # no id; it parts the runs
+        return made
+
+    def _encoded(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        plain = [r for r in runs if (r.isascii() or self.PLAIN.fullmatch(r)) and b"<|" not in r]
+        words = self.WORD.findall("\n".join([r.decode() for r in plain]).lower().encode())
+        joined = b"".join(*self.words.values([words], self._merged))
+        cuts = (np.flatnonzero(np.frombuffer(joined, "<u4") == 0xFFFFFFFF) * 4).tolist()
+        out = dict(zip(plain, (joined[b:e] for b, e in zip([0, *(c + 4 for c in cuts)], [*cuts, len(joined)]))))
+        other = [r for r in runs if r not in out]
         for r, e in zip(other, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in other], add_special_tokens=False)):
-            out[r] = self.memo[r + b" "] = array("I", e.ids).tobytes()
+            out[r] = array("I", e.ids).tobytes()
         return out
 
     def encode(self, texts: list[bytes | None]):
         """Yields the ids of each text as little-endian unsigned 32-bit integers."""
         for lo, hi in chunked(texts, 4 << 20):
             cut = [t.split() if t else [] for t in texts[lo:hi]]
-            get = self._runs(list(dict.fromkeys(r for x in cut for r in x))).__getitem__
-            for x in cut:
-                yield b"".join(map(get, x))
+            yield from map(b"".join, self.runs.values(cut, self._encoded))
 
 
 _MANIFEST = "part int, path string, start bigint, n_tokens bigint, n_docs bigint"
