@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trimmed, written
 
 SHARDS = 40
 #: Bytes that a row takes besides its text.
@@ -82,7 +82,7 @@ def packed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     items = small.union(cut).select(*_KEY, (F.col("rows") * F.col("size")).alias("bytes"), (F.col("rows") * F.col("tokens")).alias("tokens"), "rows")
     items = written(items, "groups")
     parts = max(1, -(-items.count() // TASK_GROUPS))
-    placed = items.repartition(parts, F.xxhash64(*_KEY)).mapInArrow(_packer(shards, parts), "h bigint, text_crc32 bigint, size bigint, piece int, shard int")
+    placed = items.repartition(parts, F.xxhash64(*_KEY)).mapInArrow(trimmed(_packer(shards, parts)), "h bigint, text_crc32 bigint, size bigint, piece int, shard int")
     is_cut = large.withColumn("is_cut", F.lit(True))
     keyed = pieces.join(F.broadcast(is_cut), ["h", "text_crc32", "size"], "left").withColumn("piece", F.when(F.col("is_cut"), F.col("piece")).otherwise(-1))
     dealt = keyed.join(placed, _KEY).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(3)), F.lit(_SLOT_RANGES)).cast("int").alias("range"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded, chunked, text_column, written
+from .common import Memo, bounded, chunked, text_column, trimmed, written
 
 #: Pieces in the lexicon, and bytes of the longest one.
 LEXICON, LONGEST = 65536, 32
@@ -144,7 +144,7 @@ class Codec:
         self.transducer, self.tokenizer = transducer, Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.shown, self.memo = self.tokenizer.model, byte_letters(), Memo.of_process("pieces:" + tokenizer_path, 80_000)
+        self.model, self.shown, self.memo = self.tokenizer.model, byte_letters(), Memo(80_000)
         self.table = token_bytes(tokenizer_path)
 
     def encode(self, texts: list[bytes | None]):
@@ -225,7 +225,7 @@ def frequent_pieces(docs: DataFrame, size: int = LEXICON) -> list[bytes]:
         kept = [(p, n) for p, n in seen.items() if len(p) <= LONGEST]
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["piece", "n"])
 
-    counts = bounded(docs).select("text").mapInArrow(count, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = bounded(docs).select("text").mapInArrow(trimmed(count), "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     counts = written(counts.where("n > 1"), "pieces")
     # The least count that leaves at most `size` pieces, from a row for each different count; then only those pieces come here.
     histogram = counts.groupBy("n").agg(F.count("*").alias("pieces"))
@@ -259,7 +259,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = None)
                 decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs).select("doc_id", "text").mapInArrow(trimmed(rows), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = None) -> DataFrame:
@@ -272,4 +272,4 @@ def token_ids(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = None
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in codec.encode(text_column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(rows, "doc_id bigint, ids array<int>")
+    return bounded(docs).select("doc_id", "text").mapInArrow(trimmed(rows), "doc_id bigint, ids array<int>")

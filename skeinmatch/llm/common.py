@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
-import types
 import uuid
 from collections import Counter
 from itertools import chain
@@ -80,7 +78,7 @@ def chunked(texts: list[bytes | None], limit: int = CHUNK_BYTES):
 
 
 class Memo:
-    """A bounded map that forgets the older half when full. One of a name lives as long as the worker process.
+    """A bounded map that forgets the older half when full.
 
     It holds at most twice `half` keys and those of two calls of `values`."""
 
@@ -108,12 +106,25 @@ class Memo:
         if not hot:
             hot.update((k, here[k]) for k, _ in Counter(chain.from_iterable(lists)).most_common(self.HOT))
 
-    @staticmethod
-    def of_process(name: str, half: int) -> Memo:
-        store = sys.modules.setdefault("_skeinmatch_memos", types.ModuleType("_skeinmatch_memos"))
-        if not hasattr(store, name):
-            setattr(store, name, Memo(half))
-        return getattr(store, name)
+
+def trimmed(fn):
+    """fn over batches, which at its end gives memory that the worker no longer uses back to the system: idle workers stay small."""
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -135,4 +146,4 @@ def filtered(df: DataFrame, keep_mask, text_col: str = "text") -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(mask_of(text_column(batch, text_col)), pa.bool_()))
 
-    return bounded(df).mapInArrow(rows, df.schema)
+    return bounded(df).mapInArrow(trimmed(rows), df.schema)

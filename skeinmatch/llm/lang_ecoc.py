@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunked, filtered, text_column
+from .common import bounded, chunked, filtered, text_column, trimmed
 
 #: Training documents a language, at most (in expectation), taken by a hash of the id.
 PER_LANGUAGE = 4000
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, trains=None) -> Model:
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(seen)), "counts": pa.array([zlib.compress(c.tobytes(), 1) for c in seen.values()], pa.binary())})
 
     total = {k: np.zeros((2, _SIZE), np.int64) for k in langs}
-    for r in bounded(sample).coalesce(12).mapInArrow(count, "lang string, counts binary").toLocalIterator():
+    for r in bounded(sample).coalesce(12).mapInArrow(trimmed(count), "lang string, counts binary").toLocalIterator():
         total[r["lang"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64).reshape(2, _SIZE)
     return Model(langs, [total[k] for k in langs])
 
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score, close = m.predict(text_column(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(rows, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
+    return bounded(docs).select("doc_id", "text").mapInArrow(trimmed(rows), "doc_id bigint, lang_pred string, score double, ambiguous boolean")
 
 
 def restored(state) -> Model:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, mix, text_column, written
+from .common import bounded, mix, text_column, trimmed, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -76,7 +76,7 @@ def _added(batches):
 
 def frequency_classes(docs: DataFrame) -> np.ndarray:
     """A class for each cell: 0 where its count may be chance, else 1 and more, by powers of two above that."""
-    rows = docs.select("text").mapInArrow(_counted, "slice int, cells binary").repartition(_SLICES, "slice").mapInArrow(_added, "slice int, cells binary").collect()
+    rows = docs.select("text").mapInArrow(trimmed(_counted), "slice int, cells binary").repartition(_SLICES, "slice").mapInArrow(trimmed(_added), "slice int, cells binary").collect()
     counts = np.zeros((_SLICES, (1 << CELLS_LOG2) // _SLICES))
     for r in rows:
         counts[r["slice"]] = np.frombuffer(zlib.decompress(r["cells"]), np.uint64)
@@ -261,14 +261,14 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of set digests, those at similarity 3/4 or more, by their whole sets."""
     first = pairs.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), "a")
     full = first.join(classes.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), "b")
-    pairs = written(full.select("a", "b", "n1", "n2", "x", "y").mapInArrow(_near_enough, "a binary, b binary"), "near")
+    pairs = written(full.select("a", "b", "n1", "n2", "x", "y").mapInArrow(trimmed(_near_enough), "a binary, b binary"), "near")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     ids = written(classes.join(ends, "cid", "left_semi").select(F.col("rep").alias("doc_id")), "ends")
     held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = written(docs.join(held, "doc_id", "left_semi").select("text").mapInArrow(_sets, "cid binary, shingles binary").dropDuplicates(["cid"]), "sets")
+    sets = written(docs.join(held, "doc_id", "left_semi").select("text").mapInArrow(trimmed(_sets), "cid binary, shingles binary").dropDuplicates(["cid"]), "sets")
     first = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     full = first.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-    return written(full.mapInArrow(_verified, "a binary, b binary"), "verified")
+    return written(full.mapInArrow(trimmed(_verified), "a binary, b binary"), "verified")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -283,12 +283,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = bounded(docs.select("doc_id", "text"))
     shared = spark.sparkContext.broadcast(frequency_classes(docs))
-    rows = written(docs.mapInArrow(_prefixed(shared), "doc_id bigint, n bigint, cid binary, gid binary, prefix binary, bits binary, words array<bigint>"), "prefixes")
+    rows = written(docs.mapInArrow(trimmed(_prefixed(shared)), "doc_id bigint, n bigint, cid binary, gid binary, prefix binary, bits binary, words array<bigint>"), "prefixes")
     classes = written(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("gid").alias("gid"), F.max("bits").alias("bits"), F.max("words").alias("words")), "classes")
     entries = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // 2_000_000))
-    packed = rows.where("n > 0").select("gid", "n", "prefix").mapInArrow(_packed(buckets), "bucket int, groups binary, entries binary")
-    found = written(packed.repartition(buckets, "bucket").mapInArrow(_met, "kind int, token bigint, a binary, b binary, n bigint, place bigint"), "found")
+    packed = rows.where("n > 0").select("gid", "n", "prefix").mapInArrow(trimmed(_packed(buckets)), "bucket int, groups binary, entries binary")
+    found = written(packed.repartition(buckets, "bucket").mapInArrow(trimmed(_met), "kind int, token bigint, a binary, b binary, n bigint, place bigint"), "found")
 
     # Centres of groups stand for them; each member is also paired with its own centre.
     centres = written(classes.groupBy("gid").agg(F.min("cid").alias("centre"), F.count("*").alias("members")), "centres")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, filtered, mix, text_column
+from .common import bounded, filtered, mix, text_column, trimmed
 
 Q = 12
 #: Edits allowed in an item, as a share of its length.
@@ -174,7 +174,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = [sorted({i for i, _ in f}, key=lambda i: (i is not None, i or 0)) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(f) for f in found]), pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array([min((e for _, e in f), default=None) for f in found], pa.int64())], ["doc_id", "contaminated", "n_items", "items", "least_edits"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(rows, "doc_id bigint, contaminated boolean, n_items bigint, items array<bigint>, least_edits bigint")
+    return bounded(docs).select("doc_id", "text").mapInArrow(trimmed(rows), "doc_id bigint, contaminated boolean, n_items bigint, items array<bigint>, least_edits bigint")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

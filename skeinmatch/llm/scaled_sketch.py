@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunked, mix
+from .common import bounded, chunked, mix, trimmed
 
 WIDTH = 24
 #: One hash in 2**FRACTION_LOG2 is kept.
@@ -179,4 +179,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty. The next document is the next in ascending doc_id (null ids first; equal ids by text); after the last comes the
     first, so a single row is its own next. Repeated rows follow each other. No rows give none."""
-    return with_next(bounded(docs).select("doc_id", "text")).mapInArrow(_fingerprinted, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(bounded(docs).select("doc_id", "text")).mapInArrow(trimmed(_fingerprinted), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_uri, bounded, fresh_path, open_fs, written
+from .common import as_uri, bounded, fresh_path, open_fs, trimmed, written
 
 #: Equal payloads from this size on are written once.
 REVISIT_BYTES = 100
@@ -168,7 +168,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     folder = as_uri(fresh_path(spark, "archives"))
     fs, base = open_fs(folder)
     fs.create_dir(base, recursive=True)
-    return written(decided(bounded(pages).select("page_id", "url", "html")).mapInArrow(_writer(folder), "folder string, path string, records bigint"), "manifest")
+    return written(decided(bounded(pages).select("page_id", "url", "html")).mapInArrow(trimmed(_writer(folder)), "folder string, path string, records bigint"), "manifest")
 
 
 def records(file, size: int):
@@ -214,7 +214,7 @@ def _reader(batches):
 def read_archives(manifest: DataFrame) -> DataFrame:
     """One row a record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("folder", "path").repartition(n, "path").mapInArrow(_reader, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return manifest.select("folder", "path").repartition(n, "path").mapInArrow(trimmed(_reader), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def archived(pages: DataFrame) -> DataFrame:

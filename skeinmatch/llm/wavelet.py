@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_transducer import byte_letters
-from .common import Memo, as_uri, bounded, chunked, fresh_path, open_fs, text_column, written
+from .common import Memo, as_uri, bounded, chunked, fresh_path, open_fs, text_column, trimmed, written
 
 END = 1
 #: Tokens after which a partition begins another shard file.
@@ -195,7 +195,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.shown = byte_letters()
-        self.runs, self.words = Memo.of_process("runs:" + tokenizer_path, 200_000), Memo.of_process("words:" + tokenizer_path, 100_000)
+        self.runs, self.words = Memo(200_000), Memo(100_000)
 
     def _merged(self, words: list[bytes]) -> dict[bytes, bytes]:
         tokenize, shown = self.model.tokenize, self.shown
@@ -270,7 +270,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     fs.create_dir(base, recursive=True)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = bounded(docs).select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ordered.mapInArrow(_writer(folder, tokenizer_path), _MANIFEST), "manifest")
+    manifest = written(ordered.mapInArrow(trimmed(_writer(folder, tokenizer_path)), _MANIFEST), "manifest")
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a partition
     total, base_of = 0, []
     for r in parts:
@@ -295,4 +295,4 @@ def _reader(batches):
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row a document from the files: doc_id, start, n_tokens (with the end id), ids_crc32."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("folder", "path", "start").repartition(n, "path").mapInArrow(_reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return manifest.select("folder", "path", "start").repartition(n, "path").mapInArrow(trimmed(_reader), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, filtered, text_column
+from .common import bounded, filtered, text_column, trimmed
 
 #: Labelled rows of each class from which words are chosen and the models fitted, at most (in expectation).
 PER_CLASS = 8000
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains=None) -> Model:
     def v_of(label, text):
         return int(label == 1), terms(text)[0]
 
-    counts = sample.mapInArrow(count, "term binary, one bigint, zero bigint").groupBy("term").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+    counts = sample.mapInArrow(trimmed(count), "term binary, one bigint, zero bigint").groupBy("term").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
     n1, n0 = max(sizes[1], 1), max(sizes[0], 1)
     total1, total0 = min(n1, PER_CLASS), min(n0, PER_CLASS)
     lift = ((F.col("one") + 0.5) / (total1 + 1)) / ((F.col("zero") + 0.5) / (total0 + 1))
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains=None) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(bits, pa.int64())], ["toxic", "votes"])
 
     # Voters are few, so rows of votes fold to their counts; no more rows come here than the sample has.
-    cast = sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(vote, "toxic int, votes bigint").groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()
+    cast = sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(trimmed(vote), "toxic int, votes bigint").groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()
     bits = np.repeat([r["votes"] for r in cast], [r["n"] for r in cast]).astype(np.int64)
     toxic = np.repeat([r["toxic"] for r in cast], [r["n"] for r in cast])
     v = (bits[:, None] >> np.arange(LEXICON_VOTERS + 6) & 1).astype(float)
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = m.score(text_column(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(rows, "doc_id bigint, score double, predicted int")
+    return bounded(docs).select("doc_id", "text").mapInArrow(trimmed(rows), "doc_id bigint, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
