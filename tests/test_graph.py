@@ -1,0 +1,120 @@
+import random
+from itertools import permutations
+
+import pytest
+
+from skeinmatch.catalogue import PATTERNS, union_graph
+from skeinmatch.operators import export, prep
+from skeinmatch.operators.graph import LabeledGraph
+from skeinmatch.operators.match import count, count_many, exists, frontier_sizes, match, match_stats
+from skeinmatch.plans.planner import frugal_order, matching_order, used_tables
+from skeinmatch.plans.query import QueryGraph
+from skeinmatch.sources.text import edge_list, graph_from_lines, run_list
+from skeinmatch.streaming.batches import batch_counts
+
+
+def graph_of(spark, labels, edges):
+    return LabeledGraph.from_frames(spark.createDataFrame(list(enumerate(labels)), "id bigint, label int"), spark.createDataFrame(edges or [(0, 0)], "src bigint, dst bigint"))
+
+
+def brute(labels, edges, query):
+    both = {(a, b) for a, b in edges if a != b} | {(b, a) for a, b in edges if a != b}
+    n = 0
+    for m in permutations(range(len(labels)), len(query.labels)):
+        n += all(labels[x] == y for x, y in zip(m, query.labels)) and all((m[a], m[b]) in both for a, b in query.edges)
+    return n
+
+
+def n_of(df):
+    return df.first()["n"]
+
+
+def test_orders_and_tables():
+    assert [matching_order(PATTERNS[q]) for q in ("q0", "q1", "q2", "q3", "q8")] == [[0, 1, 2], [2, 0, 1, 3], [0, 1, 3, 2], [0, 3, 2, 4, 1], [2, 0, 1, 3, 4]]
+    assert [len(used_tables(q, matching_order(q))) for q in PATTERNS.values()] == [3, 2, 3, 6, 5]
+    assert sorted(frugal_order(PATTERNS["q3"], {})) == [0, 1, 2, 3, 4]
+
+
+def test_parse_and_reject():
+    q = QueryGraph.parse("t 3 3\nv 0 2 2\nv 1 0 2\nv 2 3 2\ne 0 1\ne 0 2\ne 2 1\ne 1 2\n")
+    assert q.labels == (2, 0, 3) and len(q.edges) == 3
+    for labels, edges in (([0, 0], []), ([0, 0], [(0, 0), (0, 1)]), ([], []), ([0], [(0, 1)])):
+        with pytest.raises(ValueError):
+            QueryGraph.of(labels, edges)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    labels = [rng.randrange(2) for _ in range(7)]
+    edges = [(rng.randrange(7), rng.randrange(7)) for _ in range(16)]  # with loops, repeats and both directions
+    graph = graph_of(spark, labels, edges).prepare()
+    for query in (QueryGraph.of([0, 1, 0], [(0, 1), (1, 2), (0, 2)]), QueryGraph.of([1, 0, 1], [(0, 1), (1, 2)]), QueryGraph.of([0, 1, 1, 0], [(0, 1), (1, 2), (2, 3), (3, 0)])):
+        want = brute(labels, edges, query)
+        assert [n_of(count(graph, query, s)) for s in ("join", "arrays", "smallest")] == [want] * 3
+        assert n_of(count(graph, query, order="frugal")) == want == sum(batch_counts(graph, query, 2))
+        assert match(graph, query).count() == want and exists(graph, query) == (want > 0)
+
+
+def test_counts_of_sample_patterns(spark):
+    got = {r["query"]: r["n"] for r in count_many(union_graph(spark).prepare(), PATTERNS).collect()}
+    labels, edges = [], []
+    for q in PATTERNS.values():
+        edges += [(len(labels) + a, len(labels) + b) for a, b in q.edges]
+        labels += q.labels
+    import duckdb
+
+    from skeinmatch.catalogue import ORACLE_SQL
+
+    assert got == dict(duckdb.sql(ORACLE_SQL["union_fixture_counts"]).fetchall())
+    assert got["q3"] == 2 and got["q8"] == 2
+
+
+def test_rules(spark):
+    triangle = graph_of(spark, [7, 7, 7, 40], [(0, 1), (1, 2), (2, 0), (1, 0), (3, 3)])
+    assert n_of(count(triangle, QueryGraph.of([7, 7, 7], [(0, 1), (1, 2), (0, 2)]))) == 6
+    assert n_of(count(triangle, QueryGraph.of([7, 7, 7], [(0, 1), (1, 2)]))) == 6  # not induced
+    assert n_of(count(triangle, QueryGraph.of([7, 7], [(0, 1)]))) == 6
+    assert n_of(count(triangle, QueryGraph.of([8, 7], [(0, 1)]))) == 0  # 40 is not 8
+    assert n_of(count(triangle, QueryGraph.of([40], []))) == 1
+    big = LabeledGraph.from_frames(spark.createDataFrame([(2**33, 1), (2**33 + 1, 1)], "id bigint, label int"), spark.createDataFrame([(2**33, 2**33 + 1)], "src bigint, dst bigint"))
+    assert n_of(count(big, QueryGraph.of([1, 1, 1], [(0, 1), (1, 2)]))) == 0
+    assert sorted(tuple(r) for r in triangle.degrees().collect()) == [(0, 2), (1, 2), (2, 2), (3, 0)]
+
+
+def test_statistics(spark):
+    graph = graph_of(spark, [2, 0, 3, 3], [(0, 1), (0, 2), (1, 2), (0, 3)]).prepare()
+    assert sorted(tuple(r) for r in frontier_sizes(graph, PATTERNS["q0"]).collect()) == [(0, 1), (1, 1), (2, 1)]
+    for r in match_stats(graph, PATTERNS["q0"]).collect():
+        assert r["candidates"] == r["rejected_used"] + r["rejected_edge"] + r["kept"]
+
+
+def test_sources(spark):
+    lines = spark.createDataFrame([("t 3 2",), ("v 0 1 1",), ("v 1 2 2",), ("v 2 1 1",), ("",), ("# note",), ("e 0 1",), ("e  1\t2",)], "value string")
+    assert n_of(count(graph_from_lines(lines), QueryGraph.of([1, 2, 1], [(0, 1), (1, 2)]))) == 2
+    pairs = edge_list(spark.createDataFrame([("1 2",), ("3\t 4 ",), ("5",), ("a b",), ("1 2 3",)], "value string"))
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 2), (3, 4)]
+    runs = run_list(spark.createDataFrame([("#g q 0 1 2",), ("g q 24 13 6",)], "value string")).collect()
+    assert [tuple(r) for r in runs] == [("g", "q", 24, 13, 6)]
+
+
+def test_prep_and_export(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 50, 7), (1, 7, 9), (2, 50, 9)], "at bigint, src bigint, dst bigint")
+    assert sorted(tuple(r) for r in prep.remap_dense(edges, "at").collect()) == [(7, 1), (9, 2), (50, 0)]
+    v = spark.createDataFrame([(0, 5), (1, 6), (2, 5)], "id bigint, label int")
+    e = spark.createDataFrame([(0, 1), (0, 2)], "src bigint, dst bigint")
+    text = lambda df: [r["text"] for r in df.orderBy("line").collect()]
+    assert text(export.rm(v, e)) == ["t 3 2", "v 0 5 2", "v 1 6 1", "v 2 5 1", "e 0 1", "e 0 2"]
+    assert text(export.daf_query(v, e)) == ["t 0 3 4", "0 5 2 1 2", "1 6 1 0", "2 5 1 0"]
+    assert text(export.gf_query(v, e)) == ["(0:5)-[0]->(1:6), (0:5)-[0]->(2:5)"]
+    assert text(export.vf3(v, e))[:10] == ["#Number of nodes", "3", "", "#Node attributes", "0 5", "1 6", "2 5", "", "#edges of node 0", "2"]
+    export.save(export.rm(v, e), str(tmp_path / "g"))
+    assert n_of(count(graph_from_lines(spark.read.text(str(tmp_path / "g"))), QueryGraph.of([5, 5], [(0, 1)]))) == 2
+    labels = prep.random_labels(v, 3, 1).collect()
+    assert labels == prep.random_labels(v, 3, 1).collect() and all(0 <= r["label"] < 3 for r in labels)
+
+
+def test_stored_by_label_pair(spark, tmp_path):
+    graph = graph_of(spark, [1, 2, 1], [(0, 1), (1, 2)])
+    graph.write(str(tmp_path / "s"))
+    assert n_of(count(LabeledGraph.read(spark, str(tmp_path / "s")), QueryGraph.of([1, 2, 1], [(0, 1), (1, 2)]))) == 2
