@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_transducer import byte_letters
-from .common import Memo, as_uri, bounded, chunked, fresh_path, open_fs, text_column, trimmed, written
+from .common import Memo, as_uri, bounded, chunked, fresh_path, mix, open_fs, text_column, trimmed, written
 
 END = 1
 #: Tokens after which a partition begins another shard file.
@@ -174,6 +174,16 @@ class Shard:
         return self.alphabet[self.matrix.values()].astype("<u4") if self.matrix.n else np.empty(0, "<u4")
 
 
+class _Collision(Exception):
+    """Two different words met under one 64-bit key; the block goes the longer way."""
+
+
+#: Of each byte of plain text: 0 white space, 1 letter, 2 digit, 3 other. Then masks of the first 0 to 8 bytes.
+_KIND = np.array([0 if b in b"\t\n\v\f\r " else 1 if b >= 128 or 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.uint8)
+_ASCII = bytes(range(128))
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class WordEncoder:
     """Ids of texts by a vocabulary whose normaliser and word pattern drop white space.
 
@@ -195,7 +205,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.shown = byte_letters()
-        self.runs, self.words = Memo(200_000), Memo(100_000)
+        self.runs, self.words = Memo(100_000), Memo(200_000)
 
     def _merged(self, words: list[bytes]) -> dict[bytes, bytes]:
         tokenize, shown = self.model.tokenize, self.shown
@@ -215,11 +225,60 @@ class WordEncoder:
             out[r] = array("I", e.ids).tobytes()
         return out
 
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts of plain letters without apostrophes, where words are runs of letters, single digits and runs of other bytes.
+
+        Words are cut and told apart in arrays: length, first and last eight bytes say all about a word of up to 16 bytes; longer
+        words go through a map."""
+        buffer = b"\n".join([b"", *texts, bytes(16)])
+        a = np.frombuffer(buffer, np.uint8)
+        kind = _KIND[a[: len(a) - 16]]
+        cuts = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == 2)) + 1
+        word = kind[cuts] != 0
+        starts, ends = cuts[word], np.append(cuts, len(kind))[1:][word]
+        size = ends - starts
+        eight = np.ndarray((len(a) - 7,), "<u8", buffer=a, strides=(1,))
+        head = eight[starts] & _HEAD[np.minimum(size, 8)]
+        tail = np.where(size > 8, eight[np.maximum(ends - 8, 0)], 0).astype(np.uint64)
+        short = np.flatnonzero(size <= 16)
+        key = mix(head[short] * np.uint64(0x9E3779B97F4A7C15) + mix(tail[short] + size[short].astype(np.uint64)))
+        _, one, same = np.unique(key, return_index=True, return_inverse=True)
+        one = short[one]
+        twin = one[same]
+        if not ((head[twin] == head[short]) & (tail[twin] == tail[short]) & (size[twin] == size[short])).all():
+            raise _Collision
+        which = np.empty(len(starts), np.int64)
+        which[short] = same
+        words = [buffer[b:e] for b, e in zip(starts[one].tolist(), ends[one].tolist())]
+        far = np.flatnonzero(size > 16)
+        long = [buffer[b:e] for b, e in zip(starts[far].tolist(), ends[far].tolist())]
+        place = {w: len(words) + i for i, w in enumerate(dict.fromkeys(long))}
+        which[far] = [place[w] for w in long]
+        (values,) = self.words.values([[*words, *place]], self._merged)
+        held = np.frombuffer(b"".join(values), "<u4")
+        n = np.array([len(v) for v in values], np.int64) // 4
+        begin = np.cumsum(n) - n
+        count = n[which]
+        until = np.cumsum(count)
+        total = int(until[-1]) if len(until) else 0
+        ids = held[np.repeat(begin[which] - (until - count), count) + np.arange(total)].tobytes()
+        first = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        at = np.append(0, until)[np.searchsorted(starts, first)] * 4
+        return [ids[b:e] for b, e in zip(at.tolist(), at[1:].tolist())]
+
     def encode(self, texts: list[bytes | None]):
         """Yields the ids of each text as little-endian unsigned 32-bit integers."""
         for lo, hi in chunked(texts, 4 << 20):
-            cut = [t.split() if t else [] for t in texts[lo:hi]]
-            yield from map(b"".join, self.runs.values(cut, self._encoded))
+            part = [t or b"" for t in texts[lo:hi]]
+            plain = [i for i, t in enumerate(part) if b"'" not in t and b"<|" not in t and self.PLAIN.fullmatch(t.translate(None, _ASCII))]
+            try:
+                out = dict(zip(plain, self._plain([part[i].decode().lower().encode() for i in plain])))
+            except _Collision:
+                out = {}
+            rest = [i for i in range(len(part)) if i not in out]
+            cut = [part[i].split() for i in rest]
+            out.update(zip(rest, map(b"".join, self.runs.values(cut, self._encoded))))
+            yield from map(out.__getitem__, range(len(part)))
 
 
 _MANIFEST = "part int, path string, start bigint, n_tokens bigint, n_docs bigint"
