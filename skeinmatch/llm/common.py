@@ -85,8 +85,8 @@ class Memo:
     #: Keys of the first call that are kept apart for good, the most frequent first: a map that fits a processor's cache.
     HOT = 16384
 
-    def __init__(self, half: int):
-        self.half, self.young, self.old, self.hot = half, {}, {}, {}
+    def __init__(self, half: int, hot: int = HOT):
+        self.half, self.most, self.young, self.old, self.hot = half, hot, {}, {}, {}
 
     def values(self, lists: list[list], make):
         """Yields the list of values of each list of keys; make(keys) gives a map for those that are not remembered."""
@@ -103,8 +103,8 @@ class Memo:
         here.update(again)
         for x, y in zip(lists, found):
             yield [here[k] if v is None else v for k, v in zip(x, y)] if None in y else y
-        if not hot:
-            hot.update((k, here[k]) for k, _ in Counter(chain.from_iterable(lists)).most_common(self.HOT))
+        if not hot and self.most:
+            hot.update((k, here[k]) for k, _ in Counter(chain.from_iterable(lists)).most_common(self.most))
 
 
 def trimmed(fn):

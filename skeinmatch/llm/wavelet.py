@@ -45,9 +45,9 @@ class WaveletMatrix:
         for k in reversed(range(bits)):
             bit = (a & a.dtype.type(1 << k)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            low = a[~bit]
+            low = np.compress(~bit, a)  # by places, not by branches on random bits
             zeros.append(len(low))
-            a = np.concatenate([low, a[bit]])
+            a = np.concatenate([low, np.compress(bit, a)])
         return cls(len(values), zeros, planes)
 
     @staticmethod
@@ -112,8 +112,8 @@ class WaveletMatrix:
         for k, (z, plane) in enumerate(zip(reversed(self.zeros), reversed(self.planes))):
             bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
-            above[~bit] = out[:z]
-            above[bit] = out[z:] | kind(1 << k)
+            above[np.flatnonzero(~bit)] = out[:z]
+            above[np.flatnonzero(bit)] = out[z:] | kind(1 << k)
             out = above
         return out
 
@@ -205,7 +205,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.shown = byte_letters()
-        self.runs, self.words = Memo(100_000), Memo(200_000)
+        self.runs, self.words = Memo(100_000), Memo(200_000, hot=0)
 
     def _merged(self, words: list[bytes]) -> dict[bytes, bytes]:
         tokenize, shown = self.model.tokenize, self.shown
