@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.hashing import bucket_fill
 from .operators import export, prep
 from .operators.graph import LabeledGraph
 from .operators.match import common_neighbours, count, count_many, frontier_sizes, match, match_stats, start_candidates, with_degrees
@@ -180,11 +181,35 @@ def frontier_sizes_q0(spark, d):
     return frontier_sizes(event_graph(spark, d).prepare(), PATTERNS["q0"])
 
 
-@_query(None)
+_START_Q1 = "e0.src IN (SELECT src FROM e WHERE ls = 4 AND ld = (SELECT ld FROM (SELECT l.ld, count(src) AS n FROM (VALUES (2), (4)) l(ld) LEFT JOIN e ON e.ls = 4 AND e.ld = l.ld GROUP BY 1) ORDER BY n, ld LIMIT 1))"
+
+
+@_query(f"""WITH {EVENTS_SQL},
+    one AS (SELECT src AS v2, dst AS v0 FROM e AS e0 WHERE ls = 4 AND ld = 4 AND {_START_Q1}),
+    two AS (SELECT v2, v0, dst AS v1, (dst = v0)::INT AS used, EXISTS (SELECT 1 FROM e f WHERE f.src = v0 AND f.dst = e.dst) AS edge FROM one JOIN e ON src = v2 WHERE ls = 4 AND ld = 4),
+    three AS (SELECT 1 FROM two JOIN e ON src = v2 WHERE ld = 2 AND used = 0 AND edge)
+    SELECT 1 AS level, count(*) AS candidates, 0::BIGINT AS rejected_used, 0::BIGINT AS rejected_edge, count(*) AS kept FROM one
+    UNION ALL SELECT 2, count(*), coalesce(sum(used), 0)::BIGINT, count(*) FILTER (WHERE used = 0 AND NOT edge), count(*) FILTER (WHERE used = 0 AND edge) FROM two
+    UNION ALL SELECT 3, count(*), 0, 0, count(*) FROM three""")
 def reject_stats_q1(spark, d):
     return match_stats(event_graph(spark, d).prepare(), PATTERNS["q1"])
 
 
+@_query(_events("SELECT round(avg(degree), 6) AS mean, round(stddev_pop(degree), 6) AS deviation, count(*) AS n FROM (SELECT src, count(*) AS degree FROM e GROUP BY 1)"))
+def degree_spread(spark, d):
+    return event_graph(spark, d).degrees().agg(F.round(F.avg("degree"), 6).alias("mean"), F.round(F.stddev_pop("degree"), 6).alias("deviation"), F.count("*").alias("n"))
+
+
+@_query(None)
+def index_bucket_fill(spark, d):
+    return bucket_fill(event_graph(spark, d).edges, 4, 3)
+
+
+@_query(None)
+def pseudo_random_labels(spark, d):
+    return prep.random_labels(event_graph(spark, d).vertices, 5, 7)
+
+
 def union_graph(spark: SparkSession) -> LabeledGraph:
     """The sample patterns side by side, as a data graph."""
     vertices, edges = [], []
