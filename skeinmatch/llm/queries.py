@@ -74,7 +74,42 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_language_ecoc, op2_vector_shards, op3_scaled_fingerprints, op4_wavelet_tokens, op5_zip_warc, op6_license_scan, op7_bpe_codec, op8_jaccard_join, op9_decontaminate, op10_toxicity)}
 
+def license_sql() -> str:
+    """The licence scan over all sentences, without the test for candidates; crc32 is folded from its polynomial."""
+    rows, idf, other, _ = license_tfidf.template_weights()
+    weights = ", ".join(f"('{k}', '{w}', {x:.17e})" for k, w, x in rows)
+    idfs = ", ".join(f"('{w}', {x:.17e})" for w, x in idf.items())
+    return rf"""
+        WITH weights(license, term, weight) AS (VALUES {weights}), idf(term, idf) AS (VALUES {idfs}),
+        crc AS (
+            SELECT *, xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295::BIGINT), 4294967295::BIGINT) % 10 AS level
+            FROM documents),
+        files AS (
+            SELECT doc_id, text, concat_ws('/', coalesce(source, 'unknown'), CASE WHEN level > 0 THEN doc_id // 1000 END, CASE WHEN level > 1 THEN doc_id // 100 END, doc_id || '.txt') AS path FROM crc),
+        sentences AS (
+            SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '([.!?])[ 	
+
+]+', '' || chr(10), 'g'), chr(10))) AS sentence FROM files),
+        numbered AS (SELECT doc_id, sentence, row_number() OVER () AS place FROM sentences),
+        words AS (SELECT doc_id, place, unnest(regexp_extract_all(sentence, '{license_tfidf._TERM}')) AS term FROM numbered),
+        tf AS (SELECT doc_id, place, term, n * coalesce(idf, {other:.17e}) AS w FROM (SELECT doc_id, place, term, count(*) AS n FROM words GROUP BY ALL) LEFT JOIN idf USING (term)),
+        norms AS (SELECT doc_id, place, sqrt(sum(w * w)) AS norm FROM tf GROUP BY ALL),
+        dots AS (SELECT doc_id, place, license, sum(w * weight) AS dot FROM tf JOIN weights USING (term) GROUP BY ALL),
+        scored AS (SELECT doc_id, license, max(round(dot / norm, 6)) AS cosine FROM dots JOIN norms USING (doc_id, place) GROUP BY ALL HAVING max(round(dot / norm, 6)) >= {license_tfidf.THRESHOLD}),
+        own AS (SELECT doc_id, license, cosine FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
+        named AS (SELECT f.doc_id, path, license, cosine, regexp_replace(path, '(^|/)[^/]*$', '') AS dir FROM files f LEFT JOIN own USING (doc_id)),
+        stated AS (SELECT dir AS above, min_by(license, doc_id) AS given FROM named WHERE license IS NOT NULL GROUP BY 1),
+        dirs AS (SELECT DISTINCT dir, string_split(dir, '/') AS parts FROM named),
+        over AS (SELECT dir, depth, array_to_string(parts[1:depth], '/') AS above FROM (SELECT dir, parts, unnest(range(0, len(parts) + 1)) AS depth FROM dirs)),
+        near AS (SELECT dir, above, given FROM over JOIN stated USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY depth DESC) = 1)
+        SELECT doc_id, path, coalesce(license, given) AS license, cosine, CASE WHEN license IS NOT NULL THEN 'header' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS source,
+               CASE WHEN license IS NULL THEN above END AS inherited_from
+        FROM named LEFT JOIN near USING (dir)"""
+
+
 ORACLE_SQL = {
+    "op6_license_scan": license_sql(),
     "op5_zip_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
              d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
