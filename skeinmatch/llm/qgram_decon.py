@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, filtered, mix, text_column, trimmed
+from .common import bounded, filtered, mix, text_column, trimmed, written
 
 Q = 12
 #: Edits allowed in an item, as a share of its length.
@@ -145,8 +145,9 @@ def banded_edits(item: bytes, text: bytes, first: int, width: int, most: int) ->
     return best if best <= most else None
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES):
+def blocks(benchmark: DataFrame, size: int | None = None):
     """The items (item_id, text), as lists of bounded size; null and empty texts match nothing and are left out."""
+    size = BLOCK_BYTES if size is None else size
     held, n = [], 0
     for r in benchmark.where("text is not null").select("item_id", F.col("text").cast("binary").alias("t")).distinct().toLocalIterator():
         s = normal(bytes(r["t"]))
@@ -160,29 +161,65 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES):
         yield held
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...): doc_id, contaminated, n_items, items (ascending ids of the items found), least_edits (null if none).
+_FOUND = "items array<bigint>, least_edits bigint"
 
-    Null and empty texts are clean. Repeated rows repeat. An empty benchmark leaves all clean. Equal items each count."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(sorted(b, key=str)) for b in blocks(benchmark)]
 
+def _searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs (doc_id, text) as doc_id, items and least_edits, over one block of the benchmark after another.
+
+    Only one block is on a worker at a time: where another follows, the rows and their texts are written before it is searched."""
+    spark = docs.sparkSession
+    out = bounded(docs).select("doc_id", "text", F.array().cast("array<bigint>").alias("items"), F.lit(None).cast("bigint").alias("least_edits"))
+    left = blocks(benchmark)
+    block = next(left, None)
+    while block is not None:
+        shared, block = spark.sparkContext.broadcast(sorted(block, key=str)), next(left, None)
+        if block is None:
+            out = out.mapInArrow(trimmed(_with_block(shared, ["doc_id"])), f"doc_id bigint, {_FOUND}")
+        else:
+            out = written(out.mapInArrow(trimmed(_with_block(shared, ["doc_id", "text"])), f"doc_id bigint, text string, {_FOUND}"), "searched")
+            shared.unpersist()
+    return out
+
+
+def _with_block(shared, kept: list[str]):
     def rows(batches):
-        indexes = [Index(b.value) for b in shared]
+        index = Index(shared.value)
         for batch in batches:
-            found = [sorted({m[:2] for x in indexes for m in x.matches(t)}, key=str) for t in text_column(batch, "text")]
-            items = [sorted({i for i, _ in f}, key=lambda i: (i is not None, i or 0)) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(f) for f in found]), pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array([min((e for _, e in f), default=None) for f in found], pa.int64())], ["doc_id", "contaminated", "n_items", "items", "least_edits"])
+            items, least = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for i, t in enumerate(text_column(batch, "text")):
+                found = index.matches(t)
+                if found:
+                    items[i] = sorted({*items[i], *(k for k, _, _ in found)}, key=lambda k: (k is not None, k or 0))
+                    edits = min(e for _, e, _ in found)
+                    least[i] = edits if least[i] is None else min(least[i], edits)
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(items, pa.list_(pa.int64())), pa.array(least, pa.int64())], [*kept, "items", "least_edits"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(trimmed(rows), "doc_id bigint, contaminated boolean, n_items bigint, items array<bigint>, least_edits bigint")
+    return rows
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no benchmark item occurs, all columns, without a shuffle."""
-    shared = [docs.sparkSession.sparkContext.broadcast(sorted(b, key=str)) for b in blocks(benchmark)]
+def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...): doc_id, contaminated, n_items, items (ascending ids of the items found), least_edits (null if none).
+
+    Null and empty texts are clean. Repeated rows repeat. An empty benchmark leaves all clean. Equal items each count."""
+    return _searched(docs, benchmark).select("doc_id", F.col("least_edits").isNotNull().alias("contaminated"), F.size("items").cast("bigint").alias("n_items"), "items", "least_edits")
+
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs in which no benchmark item occurs, all columns, without a shuffle; one block of the benchmark after another."""
+    last = None
+    for block in blocks(benchmark):
+        if last is not None:
+            docs = written(docs, "searched")
+            last.unpersist()
+        last = docs.sparkSession.sparkContext.broadcast(sorted(block, key=str))
+        docs = filtered(docs, _clean_of(last))
+    return docs
+
+
+def _clean_of(shared):
     def make():
-        indexes = [Index(b.value) for b in shared]
-        return lambda texts: [not any(x.matches(t) for x in indexes) for t in texts]
+        index = Index(shared.value)
+        return lambda texts: [not index.matches(t) for t in texts]
 
-    return filtered(docs, make)
+    return make

@@ -245,7 +245,9 @@ def edit_distance_in(p, s):
     return min(row)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("block", [16 << 20, 300])
+def test_decontamination(spark, monkeypatch, block):
+    monkeypatch.setattr(qgram_decon, "BLOCK_BYTES", block)
     rng = random.Random(9)
     items = [(k, prose(rng, rng.randint(15, 40))) for k in range(6)] + [(6, "short"), (7, None), (8, "")]
     texts = [prose(rng, 50) for _ in range(4)]
