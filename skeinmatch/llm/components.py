@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(links: DataFrame, vertices: DataFrame, label: str = "component") -> DataFrame:
-    """links (a, b), vertices (v, rank): for each v that has a link, the smallest rank of its component.
+def components(links: DataFrame, vertices: DataFrame) -> DataFrame:
+    """links (a, b), vertices (v, rank): for each v that has a link, root and component: the vertex of the smallest rank of
+    its component (nulls last, then the smallest v) and that rank.
 
     Each round takes the least label among neighbours, then the label of the labelling vertex, so rounds
-    grow with the logarithm of the diameter. Labels are (rank, v) pairs; equal ranks stay apart until linked.
+    grow with the logarithm of the diameter. Labels are (no rank, rank, v); equal ranks stay apart until linked.
     Lineage is cut by a written table each round. No links: an empty frame."""
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
     ends = both.select(F.col("a").alias("v")).distinct()
-    labels = written(ends.join(vertices, "v").select("v", F.struct("rank", F.col("v").alias("at")).alias("l")), "labels")
+    labels = written(ends.join(vertices, "v").select("v", F.struct(F.col("rank").isNull().alias("none"), "rank", F.col("v").alias("at")).alias("l")), "labels")
     while True:
         near = both.join(labels, both.a == labels.v).groupBy(F.col("b").alias("v")).agg(F.min("l").alias("m"))
         least = labels.join(near, "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
@@ -25,4 +26,4 @@ def components(links: DataFrame, vertices: DataFrame, label: str = "component")
         stepped = written(stepped, "labels")
         labels = stepped.select("v", "l")
         if stepped.where("old != l").isEmpty():
-            return labels.select("v", F.col("l.rank").alias(label))
+            return labels.select("v", F.col("l.at").alias("root"), F.col("l.rank").alias("component"))

@@ -5,12 +5,16 @@ Steps:
    order puts unmarked shingles first, by hash, and marked ones last, by class and hash. The order only steers work.
 2. A second pass takes each document's set digest, size and prefix: the first n - ceil(3n/4) + 1 shingles in that order.
    Sets at similarity 3/4 share a prefix shingle. Documents with equal prefix and size form a group, which is indexed once.
-3. Groups meet by prefix shingle, in packed blocks. A list of up to ALL_PAIRS groups gives its pairs, by length and
-   position filter; a longer one gives each member's pairs with a few centres, and is kept for step 5.
+3. Groups meet by prefix shingle, in packed blocks; a frequent shingle's entries go in pieces of bounded size. A list of up to
+   ALL_PAIRS groups gives its pairs, by length and position filter; a longer one gives each member's pairs with a few centres,
+   and is kept for step 5.
 4. Pairs of members pass a bitmap filter: parities of hash cells bound the symmetric difference of two sets from below.
    What passes is verified on the whole sets; links give components.
-5. Of the kept lists and of groups with many members, only members whose components still differ are paired and verified.
-   A pair inside a component could only confirm it, so the components are exact.
+5. Kept lists (and groups with several members) that hold more than one component are settled in rounds. The members of the
+   list's largest component wait in chunks of bounded size; each other member meets every chunk and names its nearest
+   members of other components by parities: a few in the first rounds, and in the last round all that the bounds let through. Each round
+   verifies, joins components and drops the lists that are settled. A pair inside a component could only confirm it,
+   so the components are exact, and the pairs sent grow with the members outside the largest component.
 """
 
 from __future__ import annotations
@@ -35,8 +39,14 @@ ALL_PAIRS = 6
 CENTRES = 2
 #: Most ids that are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: 64-bit words of the short parity table that prunes pairs within a join.
+#: 64-bit words of the short parity table by which members of a kept list are compared.
 WORDS = 8
+#: Entries of one shingle that meet in one piece.
+PIECE = 1 << 20
+#: Members of a kept list in one chunk.
+CHUNK = 1 << 14
+#: How many nearest members a member names for each chunk, round by round; None: all that the bounds let through.
+ROUNDS = (2, 32, None)
 _SLICES = 64
 
 
@@ -74,8 +84,9 @@ def _added(batches):
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())})
 
 
-def frequency_classes(docs: DataFrame) -> np.ndarray:
-    """A class for each cell: 0 where its count may be chance, else 1 and more, by powers of two above that."""
+def frequency_classes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A class for each cell: 0 where its count may be chance, else 1 and more, by powers of two above that; and for each
+    class how many pieces of PIECE entries its largest count makes."""
     rows = docs.select("text").mapInArrow(trimmed(_counted), "slice int, cells binary").repartition(_SLICES, "slice").mapInArrow(trimmed(_added), "slice int, cells binary").collect()
     counts = np.zeros((_SLICES, (1 << CELLS_LOG2) // _SLICES))
     for r in rows:
@@ -83,12 +94,14 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
     counts = counts.ravel()
     mean = np.median(counts)  # hot shingles do not move it
     limit = mean + 6 * np.sqrt(mean) + 16
-    return np.where(counts > limit, 1 + np.floor(np.log2(np.maximum(counts, 1) / limit)), 0).astype(np.uint8)
+    classes = np.where(counts > limit, 1 + np.floor(np.log2(np.maximum(counts, 1) / limit)), 0).astype(np.uint8)
+    most = limit * 2.0 ** np.arange(int(classes.max()) + 1)
+    return classes, np.ceil(most / PIECE).astype(np.int64)
 
 
-def _prefixed(shared):
+def _prefixed(shared, kept):
     def rows(batches):
-        classes = shared.value
+        classes = shared.value[0]
         for batch in batches:
             ids, n, cid, gid, prefixes, bits, words = batch.column(batch.schema.names.index("doc_id")), [], [], [], [], [], []
             for s in shingle_sets(text_column(batch, "text")):
@@ -101,8 +114,8 @@ def _prefixed(shared):
                 gid.append(hashlib.blake2b(p, digest_size=16, salt=str(len(s)).encode()[:16]).digest())
                 prefixes.append(p)
                 bits.append(_parities(s))
-                words.append(np.packbits(np.bincount((s >> np.uint64(32) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cid, gid, prefixes, bits)), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "n", "cid", "gid", "prefix", "bits", "words"])
+                words.append(np.packbits(np.bincount((s >> np.uint64(32) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cid, gid, prefixes, bits)), pa.array(words, pa.binary()), *batch.select(list(kept)).columns], ["doc_id", "n", "cid", "gid", "prefix", "bits", "words", *kept])
 
     return rows
 
@@ -132,8 +145,14 @@ _ENTRY = np.dtype([("token", "<u8"), ("group", "<u2"), ("place", "<u2")])
 _GROUP = np.dtype([("id", "V16"), ("n", "<u4")])
 
 
-def _packed(buckets: int):
-    """Rows (bucket, groups, entries): prefix entries of many groups, by ranges of the shingle hash. Equal groups of a task go once."""
+def _pieces(shared, token: np.ndarray) -> np.ndarray:
+    classes, pieces = shared.value
+    return pieces[classes[(token >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)]]
+
+
+def _packed(buckets: int, shared):
+    """Rows (bucket, groups, entries): prefix entries of many groups, by ranges of the shingle hash; a shingle of several pieces
+    goes to as many buckets, by its groups' ids. Equal groups of a task go once."""
 
     def flush(held):
         held = [(g, n, p) for g, (n, p) in held.items()]
@@ -145,6 +164,10 @@ def _packed(buckets: int):
         starts = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
         e["place"] = np.minimum(np.arange(len(e)) - starts, 65535)
         at = (e["token"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        pieces = _pieces(shared, e["token"])
+        if (pieces > 1).any():
+            which = mix(np.frombuffer(groups["id"].tobytes(), np.uint64)[::2])[e["group"]] % pieces.astype(np.uint64)
+            at = (at + which) % np.uint64(buckets)
         order = np.argsort(at, kind="stable")
         e, at = e[order], at[order]
         cuts = np.flatnonzero(np.diff(at)) + 1
@@ -184,8 +207,17 @@ def _may_link(n1, p1, n2, p2):
     return (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (7 * most >= 3 * (n1 + n2))
 
 
-def _met(batches):
-    """From all rows of a bucket: rows (kind 0, a, b) for pairs of groups, (kind 1, token, group, n, place) for long lists."""
+def _met(shared):
+    """From all rows of a bucket: rows (0, -, a, b, -) for pairs of groups, (1, token, group, -, place) for the entries of kept
+    lists, (2, token, centre, -, -) for the centres of the pieces of one shingle."""
+
+    def rows(batches):
+        return _met_rows(shared, batches)
+
+    return rows
+
+
+def _met_rows(shared, batches):
     parts: dict[int, list] = {}
     for batch in batches:
         for b, g, e in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -204,36 +236,40 @@ def _met(batches):
         token, group, place = token[order], group[order], place[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(first, len(token)))
+        whole = _pieces(shared, token[first]) == 1
         pairs = [np.empty((0, 2), np.int64)]
         for m in range(2, ALL_PAIRS + 1):
-            at = first[length == m]
+            at = first[(length == m) & whole]
             for i in range(m if len(at) else 0):
                 for j in range(i + 1, m):
                     x, y = group[at + i], group[at + j]
                     ok = _may_link(groups["n"][x], place[at + i], groups["n"][y], place[at + j])
                     pairs.append(np.stack([x[ok], y[ok]], 1))
-        kept = [np.empty(0, np.int64)]
+        kept, heads = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
         ranks = [mix(np.frombuffer(groups["id"].tobytes(), np.uint64)[::2] + np.uint64(k * 0x9E37 + 1)) for k in range(CENTRES)]
-        for at, m in zip(first[length > ALL_PAIRS], length[length > ALL_PAIRS]):
+        long = (length > ALL_PAIRS) | ~whole
+        for at, m, alone in zip(first[long], length[long], whole[long]):
             g = group[at : at + m]
             centre = g[np.argmin(ranks[int(token[at] % np.uint64(CENTRES))][g])]
             n1, n2 = groups["n"][g].astype(np.int64), int(groups["n"][centre])
             ok = (g != centre) & (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2))
             pairs.append(np.stack([g[ok], np.full(ok.sum(), centre)], 1))
             kept.append(np.arange(at, at + m))
+            if not alone:
+                heads.append(np.array([[at, centre]]))
         p = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
         for lo in range(0, len(p), 100_000):
-            q = p[lo : lo + 100_000]
-            a, b = groups["id"][q[:, 0]], groups["id"][q[:, 1]]
-            yield _found(0, np.zeros(len(q), np.int64), a, b, np.zeros(len(q), np.int64), np.zeros(len(q), np.int64))
-        k = np.concatenate(kept)
-        for lo in range(0, len(k), 100_000):
-            x = k[lo : lo + 100_000]
-            yield _found(1, token[x].view(np.int64), groups["id"][group[x]], groups["id"][group[x]], groups["n"][group[x]].astype(np.int64), place[x].astype(np.int64))
+            a, b = p[lo : lo + 100_000].T
+            yield _found(0, np.zeros(len(a), np.int64), groups["id"][a], groups["id"][b], np.zeros(len(a), np.int64))
+        k, h = np.concatenate(kept), np.concatenate(heads)
+        for kind, at, which, where in ((1, k, group[k], place[k]), (2, h[:, 0], h[:, 1], np.zeros(len(h)))):
+            for lo in range(0, len(at), 100_000):
+                x = slice(lo, lo + 100_000)
+                yield _found(kind, token[at[x]].view(np.int64), groups["id"][which[x]], groups["id"][which[x]], where[x].astype(np.int64))
 
 
-def _found(kind, token, a, b, n, place):
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(token), _binary16(a), _binary16(b), pa.array(n), pa.array(place)], ["kind", "token", "a", "b", "n", "place"])
+def _found(kind, token, a, b, place):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(token), _binary16(a), _binary16(b), pa.array(place)], ["kind", "token", "a", "b", "place"])
 
 
 def _sets(batches):
@@ -258,14 +294,17 @@ def _verified(batches):
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of set digests, those at similarity 3/4 or more, by their whole sets."""
+    """Of pairs (a, b) of set digests, those at similarity 3/4 or more, by their whole sets.
+
+    The texts are found by the smallest id of their class, null ids as one id; sets that are not asked for go by their digest."""
     first = pairs.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), "a")
     full = first.join(classes.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), "b")
     pairs = written(full.select("a", "b", "n1", "n2", "x", "y").mapInArrow(trimmed(_near_enough), "a binary, b binary"), "near")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    ids = written(classes.join(ends, "cid", "left_semi").select(F.col("rep").alias("doc_id")), "ends")
-    held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = written(docs.join(held, "doc_id", "left_semi").select("text").mapInArrow(trimmed(_sets), "cid binary, shingles binary").dropDuplicates(["cid"]), "sets")
+    ends = written(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "rep"), "ends")
+    ids = ends.select(F.col("rep").alias("id")).distinct()
+    held = F.broadcast(ids) if ends.count() <= BROADCAST_IDS else ids
+    texts = docs.join(held, docs.doc_id.eqNullSafe(F.col("id")), "left_semi").select("text")
+    sets = written(texts.mapInArrow(trimmed(_sets), "cid binary, shingles binary").join(ends.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
     first = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     full = first.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
     return written(full.mapInArrow(trimmed(_verified), "a binary, b binary"), "verified")
@@ -275,60 +314,151 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...): one row per row with doc_id, n_shingles, component_id.
+def _nearest(most: int | None):
+    """Rows (token, chunk, probe, cid, n, place, part, words), a (token, chunk) together and its chunk's members before its probes: the
+    pairs (a, b) of each probe with the `most` nearest members of other components that the bounds let through (None: with all);
+    more: whether there are others."""
 
-    Null, empty or wordless text: an empty set, linked with nothing, its own component. Equal sets: one class. Repeated
-    rows give equal rows. No rows give none. Null ids get the component's smallest id. Other columns are not read."""
+    def rows(batches):
+        at, held, table = None, [], None
+        for batch in batches:
+            token, chunk, probe, cid, n, place, part, words = (batch.column(k).to_pylist() for k in range(8))
+            out = []
+            for k, key in enumerate(zip(token, chunk)):
+                if key != at:
+                    at, held, table = key, [], None
+                if not probe[k]:
+                    held.append((cid[k], n[k], place[k], part[k], words[k]))
+                    continue
+                if table is None and held:
+                    ids, sizes, places, parts, cells = zip(*held)
+                    codes = {}
+                    table = ids, np.array(sizes), np.array(places), np.array([codes.setdefault(p, len(codes)) for p in parts]), np.frombuffer(b"".join(cells), np.uint64).reshape(-1, WORDS)
+                if table is None:
+                    continue
+                ids, sizes, places, parts, cells = table
+                room = np.minimum(n[k] - place[k], sizes - places)
+                i = np.flatnonzero((4 * np.minimum(sizes, n[k]) >= 3 * np.maximum(sizes, n[k])) & (7 * room >= 3 * (sizes + n[k])) & (parts != codes.get(part[k], -1)))
+                apart = np.bitwise_count(cells[i] ^ np.frombuffer(words[k], np.uint64)).sum(1, dtype=np.int64)
+                near = 7 * apart <= sizes[i] + n[k]
+                i, apart = i[near], apart[near]
+                more = most is not None and len(i) > most
+                if more:
+                    i = i[np.argpartition(apart, most - 1)[:most]]
+                out += [(cid[k], ids[j], more) for j in i]
+            if out:
+                a, b, more = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(more)], ["a", "b", "more"])
+
+    return rows
+
+
+def _open_lists(entries: DataFrame, member: DataFrame) -> DataFrame:
+    """The entries (token, gid, place) of lists that hold several components, with how many chunks their list takes and its largest component."""
+    sizes = entries.join(member.select("gid", "part"), "gid").groupBy("token", "part").agg(F.count("*").alias("size"))
+    lists = sizes.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("largest"), F.ceil(F.sum("size") / CHUNK).alias("chunks"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    return entries.select("token", "gid", "place").join(lists, "token")
+
+
+def _candidates(lists: DataFrame, member: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b, more) of members of different components: each member outside its list's largest component against all chunks of the list."""
+    rows = lists.join(member, "gid")
+    outside = F.col("part") != F.col("largest")
+    home = F.array(F.struct(F.pmod(F.xxhash64("cid"), F.col("chunks")).alias("chunk"), F.lit(False).alias("probe")))
+    meets = F.when(outside, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("probe")))).otherwise(F.array().cast("array<struct<chunk:bigint,probe:boolean>>"))
+    dealt = rows.select("token", F.explode(F.concat(home, meets)).alias("to"), "cid", "n", "place", "part", "words").select("token", "to.chunk", "to.probe", "cid", "n", "place", "part", "words")
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "token", "chunk").sortWithinPartitions("token", "chunk", "probe").mapInArrow(trimmed(_nearest(most)), "a binary, b binary, more boolean")
+
+
+def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, cid, kept columns) of docs (doc_id, text, kept columns), and for each cid its component's root and smallest id."""
     spark = docs.sparkSession
-    docs = bounded(docs.select("doc_id", "text"))
+    docs = bounded(docs.select("doc_id", "text", *kept))
     shared = spark.sparkContext.broadcast(frequency_classes(docs))
-    rows = written(docs.mapInArrow(trimmed(_prefixed(shared)), "doc_id bigint, n bigint, cid binary, gid binary, prefix binary, bits binary, words array<bigint>"), "prefixes")
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    rows = written(docs.mapInArrow(trimmed(_prefixed(shared, kept)), f"doc_id bigint, n bigint, cid binary, gid binary, prefix binary, bits binary, words binary{kinds}"), "prefixes")
     classes = written(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("gid").alias("gid"), F.max("bits").alias("bits"), F.max("words").alias("words")), "classes")
     entries = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // 2_000_000))
-    packed = rows.where("n > 0").select("gid", "n", "prefix").mapInArrow(trimmed(_packed(buckets)), "bucket int, groups binary, entries binary")
-    found = written(packed.repartition(buckets, "bucket").mapInArrow(trimmed(_met), "kind int, token bigint, a binary, b binary, n bigint, place bigint"), "found")
+    packed = rows.where("n > 0").select("gid", "n", "prefix").mapInArrow(trimmed(_packed(buckets, shared)), "bucket int, groups binary, entries binary")
+    found = written(packed.repartition(buckets, "bucket").mapInArrow(trimmed(_met(shared)), "kind int, token bigint, a binary, b binary, place bigint"), "found")
 
     # Centres of groups stand for them; each member is also paired with its own centre.
     centres = written(classes.groupBy("gid").agg(F.min("cid").alias("centre"), F.count("*").alias("members")), "centres")
     own = classes.join(centres.where("members > 1"), "gid").select(F.col("centre").alias("a"), F.col("cid").alias("b"))
-    across = found.where("kind = 0").select("a", "b").distinct()
+    heads = found.where("kind = 2").select("token", "a")
+    meeting = written(_ordered(found.where("kind = 0").select("a", "b").union(heads.join(heads.groupBy("token").agg(F.min("a").alias("b")), "token").select("a", "b"))), "meeting")
+    across = meeting
     for side in ("a", "b"):
         across = across.join(centres.select(F.col("gid").alias(side), F.col("centre").alias(f"{side}c")), side)
-    pairs = written(_ordered(across.select(F.col("ac").alias("a"), F.col("bc").alias("b")).union(own)), "pairs")
-    links = _links(pairs, classes, docs)
-    vertices = classes.select(F.col("cid").alias("v"), F.col("rep").alias("rank"))
-    labels = components(links, vertices)
-
-    # What the centres could not settle: members of different components that share a long list, or a pair of groups with many members.
-    member = written(classes.join(labels.select(F.col("v").alias("cid"), F.struct("component").alias("linked")), "cid", "left").select("cid", "gid", "n", *(F.col("words")[k].alias(f"w{k}") for k in range(WORDS)), F.coalesce(F.concat(F.lit("c"), F.col("linked.component").cast("string")), F.hex("cid")).alias("part")), "members")
-    lists = found.where("kind = 1").select("token", F.col("a").alias("gid"), "place").join(member, "gid")
-    open_lists = lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
-    lists = lists.join(open_lists, "token", "left_semi")
-    l, r = lists.alias("l"), lists.alias("r")
-    differ = sum((F.bit_count(F.col(f"l.w{k}").bitwiseXOR(F.col(f"r.w{k}"))) for k in range(WORDS)), F.lit(0))
-    apart = l.join(r, (7 * differ <= F.expr("l.n + r.n")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.part") < F.col("r.part")) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n")) & (7 * F.least(F.expr("l.n - l.place"), F.expr("r.n - r.place")) >= 3 * (F.expr("l.n + r.n"))))
-    more = apart.select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b"))
+    tried = written(_ordered(across.select(F.col("ac").alias("a"), F.col("bc").alias("b")).union(own)), "pairs")
+    links = _links(tried, classes, docs)
+    found_in = components(links, classes.select(F.col("cid").alias("v"), F.col("rep").alias("rank")))
+    named = classes.join(found_in.withColumnRenamed("v", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("part"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
+
+    # What the centres could not settle: lists that still hold several components. A group with several members is a list of its own, and of one with each group that it meets.
     many = centres.where("members > 1").select("gid")
-    meeting = found.where("kind = 0").select("a", "b").distinct()
-    touched = meeting.join(many.select(F.col("gid").alias("a")), "a", "left_semi").union(meeting.join(many.select(F.col("gid").alias("b")), "b", "left_semi").select("a", "b"))
-    touched = touched.union(many.select(F.col("gid").alias("a"), F.col("gid").alias("b"))).distinct()
-    parts = member.select("gid", "part").distinct()
-    open_groups = touched.join(parts.select(F.col("gid").alias("a"), F.col("part").alias("p")), "a").join(parts.select(F.col("gid").alias("b"), F.col("part").alias("q")), "b").where("p != q")
-    more = more.union(open_groups.join(member.select(F.col("gid").alias("a"), F.col("part").alias("p"), F.col("cid").alias("x")), ["a", "p"]).join(member.select(F.col("gid").alias("b"), F.col("part").alias("q"), F.col("cid").alias("y")), ["b", "q"]).select("x", "y"))
-    more = written(_ordered(more).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        further = _links(more, classes, docs)
-        if not further.isEmpty():
-            labels = components(links.union(further), vertices)
-    named = classes.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    touched = meeting.join(many.select(F.col("gid").alias("a")), "a", "left_semi").union(meeting.join(many.select(F.col("gid").alias("b")), "b", "left_semi").select("a", "b")).distinct()
+    touched = touched.union(many.select(F.col("gid").alias("a"), F.col("gid").alias("b")))
+    both = touched.select(F.xxhash64("a", "b").alias("token"), F.explode(F.array_distinct(F.array("a", "b"))).alias("gid"), F.lit(0).cast("bigint").alias("place"))
+    lists = found.where("kind = 1").select("token", F.col("a").alias("gid"), "place").union(both)
+    for most in ROUNDS:
+        named = written(named, "named")
+        member = classes.join(named, "cid").select("cid", "gid", "n", "words", "part")
+        lists = written(_open_lists(lists, member), "lists")
+        if lists.isEmpty():
+            break
+        near = written(_candidates(lists, member, most).distinct(), "candidates")
+        last = near.where("more").isEmpty()
+        more = written(_ordered(near).join(tried, ["a", "b"], "left_anti"), "pairs")
+        further = more if more.isEmpty() else _links(more, classes, docs)
+        if further.isEmpty():
+            if last:
+                break
+            tried = tried.union(more)
+            continue
+        tried = tried.union(more)
+        # Components of components: few vertices, whatever the size of each.
+        bridges = further
+        for side in ("a", "b"):
+            bridges = bridges.join(named.select(F.col("cid").alias(side), F.col("part").alias(f"{side}p")), side)
+        ranks = named.select(F.col("part").alias("v"), F.col("component").alias("rank")).distinct()
+        merged = components(bridges.select(F.col("ap").alias("a"), F.col("bp").alias("b")).where("a != b").distinct(), ranks)
+        merged = merged.select(F.col("v").alias("part"), "root", F.col("component").alias("least"))
+        named = named.join(merged, "part", "left").select("cid", F.coalesce("root", "part").alias("part"), F.when(F.col("root").isNull(), F.col("component")).otherwise(F.col("least")).alias("component"))
+        if last:
+            break
+    return rows.select("doc_id", "n", "cid", *kept), named
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...): one row per row with doc_id, n_shingles, component_id.
+
+    Null, empty or wordless text: an empty set, linked with nothing, its own component. Equal sets: one class. Very long texts
+    are sets like others. Repeated rows give equal rows; ties do not arise. No rows give none. Null ids get the component's smallest id, null
+    if all of its ids are null. Other columns are not read."""
+    rows, named = _classified(docs)
+    return rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are not the smallest id of their component; of rows that repeat
-    an id and a text, one stays. All columns stay."""
-    kept = jaccard_components(docs)
-    gone = written(kept.where("component_id != doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """docs with one row of each component, all columns: that with the smallest doc_id, nulls last, then the smallest MD5 of its text.
+
+    Rows are told apart by id and text, so one id on two texts is two documents; of rows that repeat both, one stays. Rows without
+    words are components of their own. No rows give none. Columns of any name stay as they are."""
+    keyed = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
+    rows, named = _classified(keyed, "key")
+    rows = written(rows.join(named, "cid", "left").select("doc_id", "key", F.when(F.col("n") > 0, F.col("part")).alias("part")).groupBy("doc_id", "key", "part").agg(F.count("*").alias("copies")), "decided")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))
+    first = rows.where("part is not null").groupBy("part").agg(F.min(order).alias("first"))
+    gone = written(rows.join(first, "part").where(order != F.col("first")).select("doc_id", "key"), "gone")
+
+    def same(df, marked):
+        return df["doc_id"].eqNullSafe(marked["doc_id"]) & (F.md5(F.coalesce(df["text"], F.lit("")).cast("binary")) == marked["key"])
+
+    left = docs.join(gone, same(docs, gone), "left_anti")
+    again = written(rows.where("copies > 1").select("doc_id", "key").distinct(), "again")
+    if again.isEmpty():
+        return left
+    return left.join(again, same(left, again), "left_anti").union(left.join(again, same(left, again), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -2,44 +2,49 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from .common import chunked, mix
 
 WORDS = 5
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+_KEY = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = np.array([0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03, 0x2545F4914F6CDD1D, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+#: What the first 0 to 8 bytes of a little-endian word keep.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The hash and the first byte's place of each word, where words are runs of bytes other than ASCII white space.
 
-    A-Z count as a-z. The hash is a polynomial modulo 2**64 over the word's bytes, mixed with its length."""
-    a = np.frombuffer(buffer.lower(), np.uint8)
+    A-Z count as a-z. A word's bytes go eight at a time through a keyed mixer, after its length, so words of up to eight
+    bytes of one length never collide; words over LONG_WORD bytes take a keyed BLAKE2b digest."""
+    low = buffer.lower()
+    a = np.frombuffer(low, np.uint8)
     inside = np.empty(len(a) + 2, bool)
     inside[0] = inside[-1] = False
     np.logical_not(_SPACE[a], out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(len(a) + 1)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(up[: len(a)] * (a.astype(np.uint64) + np.uint64(1)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), starts
+    size = ends - starts
+    eights = np.ndarray((len(a),), "<u8", buffer=low + bytes(8), strides=(1,))
+    h = mix(size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + _KEY)
+    if len(h):
+        h = mix(h ^ (eights[starts] & _KEEP[np.minimum(size, 8)]))
+    left = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    done = 8
+    while len(left):
+        h[left] = mix(h[left] * _KEY ^ (eights[starts[left] + done] & _KEEP[np.minimum(size[left] - done, 8)]))
+        done += 8
+        left = left[size[left] > done]
+    for k in np.flatnonzero(size > LONG_WORD):
+        h[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]], digest_size=8, key=b"word").digest(), "little")
+    return h, starts
 
 
 def shingle_sets(texts: list[bytes | None]):

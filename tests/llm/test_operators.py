@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skeinmatch.llm import binpack, bpe_transducer, lang_ecoc, license_tfidf, prefix_join, qgram_decon, scaled_sketch, warc_zip, wavelet, weak_toxicity
+from skeinmatch.llm import binpack, bpe_transducer, lang_ecoc, license_tfidf, prefix_join, qgram_decon, scaled_sketch, shingles, warc_zip, wavelet, weak_toxicity
 from skeinmatch.llm.queries import BYTE_BPE, QUERIES, WORD_BPE
 
 WORDS = "alpha beta gamma delta omega river stone cloud ember frost maple cedar quiet amber".split()
@@ -137,7 +137,11 @@ def test_jaccard_join(spark, odd):
     assert len(repeated) == 2 and repeated[0] == repeated[1]
 
 
-def test_jaccard_join_long_lists(spark, monkeypatch):
+@pytest.mark.parametrize("settings", [{}, {"CHUNK": 7, "PIECE": 5, "BROADCAST_IDS": 0}])
+def test_jaccard_join_long_lists(spark, monkeypatch, settings):
+    """Near copies whose lists are long, in one piece and in many, with ids to verify broadcast or shuffled."""
+    for name, value in settings.items():
+        monkeypatch.setattr(prefix_join, name, value)
     rng = random.Random(8)
     base = prose(rng, 50).split()
     texts = []
@@ -150,6 +154,48 @@ def test_jaccard_join_long_lists(spark, monkeypatch):
     assert {tuple(r) for r in got} == brute_components(list(enumerate(texts)))
 
 
+def test_jaccard_join_shared_core(spark):
+    """300 texts that share 70 % of their shingles are not linked, but for a chain through a few of them."""
+    rng = random.Random(9)
+    core = [f"c{i}" for i in range(74)]
+    texts = [" ".join(core + [f"u{k}x{i}" for i in range(30)]) for k in range(300)]
+    for k in range(5):
+        words = texts[-1].split()
+        words[73 - k] = f"chain{k}"
+        words[-1 - 2 * k] = f"end{k}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    got = prefix_join.jaccard_components(docs_of(spark, texts)).collect()
+    assert {tuple(r) for r in got} == brute_components(list(enumerate(texts)))
+    assert len({r["component_id"] for r in got}) < 305
+
+
+def test_jaccard_join_ids(spark):
+    """Near copies whose ids are all null, one id on two texts, rows that repeat."""
+    rng = random.Random(10)
+    a, b = prose(rng, 60), prose(rng, 60)
+    near = a + " more"
+    docs = spark.createDataFrame([(4, a), (None, near), (None, b)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in prefix_join.jaccard_components(docs).collect()}
+    assert {(i, c) for i, _, c in got} == {(4, 4), (None, 4), (None, None)}
+    rows = [(3, a, "x"), (5, near, "y"), (5, b, "z"), (5, b, "z"), (None, near, "n"), (None, None, "e"), (6, "", "f")]
+    kept = prefix_join.first_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string, cid string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, a, "x"), (5, b, "z"), (None, None, "e"), (6, "", "f")], key=str)
+
+
+def test_word_hashes():
+    """Words of any length, also such as a polynomial modulo a power of two confuses."""
+    thue = [0]
+    while len(thue) < 2048:
+        thue += [1 - x for x in thue]
+    words = ["a", "b", "ab", "ba", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "a" * 64, "a" * 65, "a" * 70000, "b" * 65, "\u00e9" * 40]
+    words += ["".join("ab"[x] for x in thue), "".join("ba"[x] for x in thue)]
+    hashes, starts = shingles.word_hashes(" ".join(words).encode())
+    assert len(set(hashes.tolist())) == len(words)
+    upper, _ = shingles.word_hashes("\n".join(words).upper().replace("\u00c9", "\u00e9").encode())
+    assert (upper == hashes).all() and starts[1] == 2
+
+
 def test_fingerprints(spark, odd):
     rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()))
     got = scaled_sketch.fingerprints(odd).collect()
