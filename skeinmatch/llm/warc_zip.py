@@ -1,12 +1,14 @@
 """WARC records in ZIP archives (operator 5): a writer, and a reader that range-reads single records.
 
-An archive has two stored (uncompressed) members: data.warc, the records one after another, and index.cdxj, one line a record with
-its place. The directory is written in ZIP64 form, and entries without it are understood too. The reader takes the end record from the file's tail, then the central directory,
-then the index, and reads each record by its range; nothing is extracted.
+An archive has two stored members: data.warc.gz, where each record is a gzip member of its own, one after another, and
+index.cdxj, one line a record with its place. The directory is written in ZIP64 form, and entries without it are understood too. The
+reader takes the end record from the file's tail, then the central directory, then the index, and reads each record by its range;
+nothing is extracted. It takes archives of other writers too: with comments, with a deflated index, with plain records.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import struct
@@ -21,11 +23,13 @@ from .common import as_uri, bounded, fresh_path, open_fs, trimmed, written
 
 #: Equal payloads from this size on are written once.
 REVISIT_BYTES = 100
-#: Bytes of records after which a task begins another archive.
+#: Effort of the compression, 1 to 9.
+LEVEL = 5
+#: Bytes of compressed records after which a task begins another archive.
 ARCHIVE_BYTES = 32 << 20
 #: How far apart two records may be and still come in one read.
 READ_BYTES = 4 << 20
-WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
+WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
 def zip_bytes(members: list[tuple[str, bytes]]) -> bytes:
@@ -48,18 +52,20 @@ def zip_bytes(members: list[tuple[str, bytes]]) -> bytes:
 
 
 class ZipDirectory:
-    """The members of an archive: name to (first byte of data, size). file: seekable, read by ranges."""
+    """The members of an archive: name to (local header's place, method, packed size, plain size, crc). file: seekable, read by ranges."""
 
     def __init__(self, file, size: int):
         self.file = file
         tail_at = max(0, size - 65557)
         tail = self.read(tail_at, size - tail_at)
         end = tail.rfind(b"PK\x05\x06")
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
+            end = tail.rfind(b"PK\x05\x06", 0, end + 3)  # the signature stands in a comment
         if end < 0:
             raise ValueError("no end of central directory")
         _, _, _, _, count, length, at, _ = struct.unpack_from("<IHHHHIIH", tail, end)
         locator = end - 20
-        if locator >= 0 and tail[locator : locator + 4] == b"PK\x06\x07":
+        if locator >= 0 and tail[locator : locator + 4] == b"PK\x06\x07" and (count == 0xFFFF or length == 0xFFFFFFFF or at == 0xFFFFFFFF):
             (at64,) = struct.unpack_from("<Q", tail, locator + 8)
             record = self.read(at64, 56)
             if record[:4] != b"PK\x06\x06":
@@ -69,8 +75,8 @@ class ZipDirectory:
         for _ in range(count):
             if directory[p : p + 4] != b"PK\x01\x02":
                 raise ValueError("broken central directory")
-            method, = struct.unpack_from("<H", directory, p + 10)
-            packed, plain, n, m, k = struct.unpack_from("<IIHHH", directory, p + 20)
+            (method,) = struct.unpack_from("<H", directory, p + 10)
+            crc, packed, plain, n, m, k = struct.unpack_from("<IIIHHH", directory, p + 16)
             (local,) = struct.unpack_from("<I", directory, p + 42)
             name = directory[p + 46 : p + 46 + n].decode("utf-8", "replace")
             extra, q = directory[p + 46 + n : p + 46 + n + m], 0
@@ -84,19 +90,38 @@ class ZipDirectory:
                             r += 8
                     plain, packed, local = wide
                 q += 4 + width
-            if method == 0:
-                self.members[name] = (local, plain)
+            self.members[name] = (local, method, packed, plain, crc)
             p += 46 + n + m + k
 
     def read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
         return self.file.read(n)
 
+    def _data_at(self, local: int) -> int:
+        head = self.read(local, 30)
+        if head[:4] != b"PK\x03\x04":
+            raise ValueError("no local header where the directory points")
+        n, m = struct.unpack_from("<HH", head, 26)
+        return local + 30 + n + m
+
     def open(self, name: str) -> tuple[int, int]:
-        """Where the member's data begin, past its local header, and their size."""
-        local, size = self.members[name]
-        n, m = struct.unpack_from("<HH", self.read(local + 26, 4))
-        return local + 30 + n + m, size
+        """Where a stored member's data begin, past its local header, and their size; ValueError for a compressed one, which has no ranges."""
+        local, method, _, plain, _ = self.members[name]
+        if method:
+            raise ValueError(f"{name} is not stored")
+        return self._data_at(local), plain
+
+    def whole(self, name: str) -> bytes:
+        """All of a stored or deflated member, checked against its CRC."""
+        local, method, packed, _, crc = self.members[name]
+        data = self.read(self._data_at(local), packed)
+        if method == 8:
+            data = zlib.decompress(data, -15)
+        elif method:
+            raise ValueError(f"{name}: compression {method} is not understood")
+        if zlib.crc32(data) != crc:
+            raise ValueError(f"{name}: wrong CRC")
+        return data
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
@@ -111,7 +136,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and body of one record."""
+    """Headers and body of one record, plain or a gzip member."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -147,7 +174,7 @@ def _writer(folder: str):
 
         for batch in batches:
             for page, url, html, digest, first in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                r = record(page, url, html.encode(), digest, first, first is not None)
+                r = gzip.compress(record(page, url, html.encode(), digest, first, first is not None), LEVEL, mtime=0)
                 index.append(f"{page} {json.dumps({'offset': size, 'length': len(r)})}\n")
                 held.append(r)
                 size += len(r)
@@ -174,9 +201,8 @@ def write_archives(pages: DataFrame) -> DataFrame:
 def records(file, size: int):
     """(headers, body) of the records of an archive, by its index, in reads of up to READ_BYTES."""
     zipped = ZipDirectory(file, size)
-    at, n = zipped.open(INDEX_MEMBER)
-    places = [json.loads(line.split(b" ", 1)[1]) for line in zipped.read(at, n).splitlines()]
-    begin, _ = zipped.open(WARC_MEMBER)
+    places = [json.loads(line.split(b" ", 1)[1]) for line in zipped.whole(INDEX_MEMBER).splitlines()]
+    begin, _ = zipped.open(WARC_MEMBER if WARC_MEMBER in zipped.members else WARC_MEMBER.removesuffix(".gz"))
     i = 0
     while i < len(places):
         j, end = i, places[i]["offset"]
@@ -220,6 +246,6 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def archived(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) through archives and back.
 
-    Null html is an empty payload; payloads under REVISIT_BYTES are all responses. Repeated rows of the first page are each a response, rows of
+    Null html is an empty payload; payloads under REVISIT_BYTES are all responses; very long ones are records like others. Repeated rows of the first page are each a response, rows of
     other pages each a revisit; a null page_id never is the first. No rows give none. Other columns are not read."""
     return read_archives(write_archives(pages))
