@@ -262,9 +262,26 @@ def test_zip_reader_understands_other_writers():
     with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED) as z:
         z.writestr("archive/data.warc", b"abc")
         z.writestr("x/y", b"defg")
+        z.writestr("index", b"abc" * 99, zipfile.ZIP_DEFLATED)
+        z.comment = b"a comment with PK\x05\x06" + bytes(18) + b" an end record's signature"
+        with z.open("wide", "w", force_zip64=True) as f:
+            f.write(b"hij")
     d = warc_zip.ZipDirectory(held, len(held.getvalue()))
-    at, n = d.open("x/y")
-    assert d.read(at, n) == b"defg"
+    for name, data in (("x/y", b"defg"), ("wide", b"hij")):
+        at, n = d.open(name)
+        assert d.read(at, n) == data == d.whole(name)
+    assert d.whole("index") == b"abc" * 99
+    with pytest.raises(ValueError):
+        d.open("index")
+    broken = held.getvalue().replace(b"defg", b"dexg")
+    with pytest.raises(ValueError):
+        warc_zip.ZipDirectory(io.BytesIO(broken), len(broken)).whole("x/y")
+    line = warc_zip.record(1, "u", b"payload", "0", None, False)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED) as z:  # plain records
+        z.writestr("archive/data.warc", line * 2)
+        z.writestr(warc_zip.INDEX_MEMBER, "".join(f'1 {{"offset": {k * len(line)}, "length": {len(line)}}}\n' for k in range(2)), zipfile.ZIP_DEFLATED)
+    assert [body for _, body in warc_zip.records(held, len(held.getvalue()))] == [b"payload"] * 2
     own = warc_zip.zip_bytes([("a", b"12"), ("b", b"")])
     with zipfile.ZipFile(io.BytesIO(own)) as z:
         assert z.read("a") == b"12" and z.testzip() is None
@@ -291,11 +308,26 @@ def edit_distance_in(p, s):
     return min(row)
 
 
+def brute_items(items, text):
+    """Least edits of each item of which a window occurs in the text, by whole edit-distance tables."""
+    s = qgram_decon.normal((text or "").encode())
+    want = {}
+    for i, p in items:
+        p = qgram_decon.normal((p or "").encode())
+        if 0 < len(p) < qgram_decon.Q and b" " + p + b" " in b" " + s + b" ":
+            want[i] = 0
+        elif len(p) >= qgram_decon.Q:
+            edits = [e for w in qgram_decon.windows(p) if (e := edit_distance_in(w, s)) <= qgram_decon.budget(len(w))]
+            if edits:
+                want[i] = min(edits)
+    return want
+
+
 @pytest.mark.parametrize("block", [16 << 20, 300])
 def test_decontamination(spark, monkeypatch, block):
     monkeypatch.setattr(qgram_decon, "BLOCK_BYTES", block)
     rng = random.Random(9)
-    items = [(k, prose(rng, rng.randint(15, 40))) for k in range(6)] + [(6, "short"), (7, None), (8, "")]
+    items = [(k, prose(rng, rng.randint(15, 40))) for k in range(6)] + [(6, "short"), (7, None), (8, ""), (9, prose(rng, 130)), (10, "a" * 300)]
     texts = [prose(rng, 50) for _ in range(4)]
     for k in range(6):
         s = list(items[k][1])
@@ -303,18 +335,34 @@ def test_decontamination(spark, monkeypatch, block):
             at = rng.randrange(len(s))
             s[at : at + 1] = rng.choice([[], ["q"], [s[at], "z"]])
         texts.append(prose(rng, 9) + " " + "".join(s) + " " + prose(rng, 9))
-    texts += [None, "", items[2][1].upper() + "!", "it is short indeed", "shorter"]
-    got = {r["doc_id"]: set(r["items"]) for r in qgram_decon.contaminations(docs_of(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
-    for i, t in enumerate(texts):
-        s = qgram_decon.normal((t or "").encode())
-        want = set()
-        for k, p in items:
-            p = qgram_decon.normal((p or "").encode())
-            if p and (b" " + p + b" " in b" " + s + b" " if len(p) < qgram_decon.Q else edit_distance_in(p, s) <= qgram_decon.budget(len(p))):
-                want.add(k)
-        assert got[i] == want
-    kept = qgram_decon.decontaminated(docs_of(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"))
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, x in got.items() if not x}
+    texts += [None, "", items[2][1].upper() + "!", "it is short indeed", "shorter", prose(rng, 5) + items[9][1][200:650] + prose(rng, 5), items[9][1][:100], "a" * 250, "a" * 700, "a" * 150 + "b" + "a" * 150]
+    docs = docs_of(spark, texts).union(docs_of(spark, [texts[4], "another text"], [0, 0]))  # one id on several texts
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, doc_id string")
+    want = [(i, sorted(found), min(found.values(), default=None)) for i, t in [*enumerate(texts), (0, texts[4]), (0, "another text")] for found in [brute_items(items, t)]]
+    got = [(r["doc_id"], r["items"], r["least_edits"]) for r in qgram_decon.contaminations(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = qgram_decon.decontaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, x, _ in want if not x)
+
+
+def test_decontamination_of_repetitive_texts():
+    """Long runs, against whole tables on small cases, and in bounded time and memory on large ones."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(4)
+    for _ in range(60):
+        items = [(k, "".join(rng.choices(rng.choice(["a", "ab", "abc"]), k=rng.randint(12, 60)))) for k in range(4)]
+        text = "".join(rng.choices("ab", [9, 1], k=rng.randint(20, 200)))
+        assert qgram_decon.Index([(i, t.encode()) for i, t in items]).matches(text.encode()) == brute_items(items, text)
+    tracemalloc.start()
+    for item, found in ((b"a" * 2000, {1: 0}), (b"a" * 120 + b"b" + b"a" * 135, {1: 1}), (b"a" * 100 + b"bc" * 50, {})):
+        began = time.time()
+        assert qgram_decon.Index([(1, item)]).matches(b"a" * 1_000_000) == found
+        assert time.time() - began < 30
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
 
 
 def labelled(spark):
