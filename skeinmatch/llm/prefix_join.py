@@ -12,8 +12,8 @@ Steps:
    What passes is verified on the whole sets; links give components.
 5. Kept lists (and groups with several members) that hold more than one component are settled in rounds. The members of the
    list's largest component wait in chunks of bounded size; each other member meets every chunk and names its nearest
-   members of other components by parities: a few in the first rounds, and in the last round all that the bounds let through. Each round
-   verifies, joins components and drops the lists that are settled. A pair inside a component could only confirm it,
+   members of other components by parities, a few at first. Each round verifies and joins components; members that could have named more do so in
+   the next one, and in the last all that the bounds let through. A pair inside a component could only confirm it,
    so the components are exact, and the pairs sent grow with the members outside the largest component.
 """
 
@@ -39,8 +39,8 @@ ALL_PAIRS = 6
 CENTRES = 2
 #: Most ids that are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: 64-bit words of the short parity table by which members of a kept list are compared.
-WORDS = 8
+#: Least and most cells of the short parity table by which members of a kept list are compared; a set's own has its size or up to twice that.
+SHORT_CELLS = 64, 4096
 #: Entries of one shingle that meet in one piece.
 PIECE = 1 << 20
 #: Members of a kept list in one chunk.
@@ -113,31 +113,32 @@ def _prefixed(shared, kept):
                 p = s[: len(s) // 4 + 1].tobytes()  # n - ceil(3n/4) = floor(n/4)
                 gid.append(hashlib.blake2b(p, digest_size=16, salt=str(len(s)).encode()[:16]).digest())
                 prefixes.append(p)
-                bits.append(_parities(s))
-                words.append(np.packbits(np.bincount((s >> np.uint64(32) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).tobytes())
+                bits.append(_parities(s, max(64, 2 * len(s))))
+                words.append(_parities(s >> np.uint64(32), min(max(SHORT_CELLS[0], len(s)), SHORT_CELLS[1])))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cid, gid, prefixes, bits)), pa.array(words, pa.binary()), *batch.select(list(kept)).columns], ["doc_id", "n", "cid", "gid", "prefix", "bits", "words", *kept])
 
     return rows
 
 
-def _parities(s: np.ndarray) -> bytes:
-    """Whether each of m cells, a power of two near twice the set's size, holds an odd number of its hashes."""
-    m = 1 << max(6, (2 * len(s) - 1).bit_length())
+def _parities(s: np.ndarray, least: int) -> bytes:
+    """Whether each of m cells, the power of two from `least` on, holds an odd number of the hashes."""
+    m = 1 << (least - 1).bit_length()
     return np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
 
 
-def _near_enough(batches):
-    """Pairs whose parities differ in no more cells than sets at similarity 3/4 may differ in shingles, (n1 + n2) / 7."""
+def _folded(a: np.ndarray, size: int) -> np.ndarray:
+    """Tables of bytes, brought to a smaller size: cells that agree modulo it go together."""
+    return np.bitwise_xor.reduce(a.reshape(*a.shape[:-1], -1, size), axis=-2)
 
-    def folded(a, size):
-        return np.bitwise_xor.reduce(a.reshape(-1, size), axis=0)  # cells of a larger table that agree modulo the smaller
 
+def _near_enough(batches):
+    """Pairs whose parities differ in no more cells than sets at similarity 3/4 may differ in shingles, (n1 + n2) / 7."""
     for batch in batches:
         keep = []
         for n1, n2, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
             x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
             size = min(len(x), len(y))
-            keep.append(7 * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= n1 + n2)
+            keep.append(7 * int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= n1 + n2)
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -314,41 +315,61 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
+class _Chunk:
+    """Members of a list, to be compared with probes."""
+
+    def __init__(self, members):
+        self.ids, sizes, places, parts, tables = zip(*members)
+        self.sizes, self.places = np.array(sizes), np.array(places)
+        self.codes: dict = {}
+        self.parts = np.array([self.codes.setdefault(p, len(self.codes)) for p in parts])
+        widths = np.array([len(t) for t in tables])
+        self.by_width = [(w, at, np.frombuffer(b"".join(tables[i] for i in at), np.uint8).reshape(-1, w)) for w in np.unique(widths).tolist() for at in [np.flatnonzero(widths == w)]]
+
+    def near(self, n: int, place: int, part, table: bytes, most: int | None) -> tuple[list, bool]:
+        """The `most` nearest members of other components that the bounds let through, and whether there are others."""
+        room = np.minimum(n - place, self.sizes - self.places)
+        fit = (4 * np.minimum(self.sizes, n) >= 3 * np.maximum(self.sizes, n)) & (7 * room >= 3 * (self.sizes + n)) & (self.parts != self.codes.get(part, -1))
+        if not fit.any():
+            return [], False
+        own, at, apart = np.frombuffer(table, np.uint8), [], []
+        for width, who, tables in self.by_width:
+            mine = np.flatnonzero(fit[who])
+            if len(mine):
+                size = min(width, len(own))
+                differ = _folded(tables[mine], size) ^ _folded(own, size)
+                at.append(who[mine])
+                apart.append(np.bitwise_count(differ).sum(1, dtype=np.int64))
+        at, apart = np.concatenate(at), np.concatenate(apart)
+        near = 7 * apart <= self.sizes[at] + n
+        at, apart = at[near], apart[near]
+        more = most is not None and len(at) > most
+        if more:
+            at = at[np.argpartition(apart, most - 1)[:most]]
+        return [self.ids[i] for i in at], more
+
+
 def _nearest(most: int | None):
     """Rows (token, chunk, probe, cid, n, place, part, words), a (token, chunk) together and its chunk's members before its probes: the
-    pairs (a, b) of each probe with the `most` nearest members of other components that the bounds let through (None: with all);
+    pairs (a, b) of each probe a with the `most` nearest members of other components that the bounds let through (None: with all);
     more: whether there are others."""
 
     def rows(batches):
-        at, held, table = None, [], None
+        at, held, chunk = None, [], None
         for batch in batches:
-            token, chunk, probe, cid, n, place, part, words = (batch.column(k).to_pylist() for k in range(8))
             out = []
-            for k, key in enumerate(zip(token, chunk)):
-                if key != at:
-                    at, held, table = key, [], None
-                if not probe[k]:
-                    held.append((cid[k], n[k], place[k], part[k], words[k]))
-                    continue
-                if table is None and held:
-                    ids, sizes, places, parts, cells = zip(*held)
-                    codes = {}
-                    table = ids, np.array(sizes), np.array(places), np.array([codes.setdefault(p, len(codes)) for p in parts]), np.frombuffer(b"".join(cells), np.uint64).reshape(-1, WORDS)
-                if table is None:
-                    continue
-                ids, sizes, places, parts, cells = table
-                room = np.minimum(n[k] - place[k], sizes - places)
-                i = np.flatnonzero((4 * np.minimum(sizes, n[k]) >= 3 * np.maximum(sizes, n[k])) & (7 * room >= 3 * (sizes + n[k])) & (parts != codes.get(part[k], -1)))
-                apart = np.bitwise_count(cells[i] ^ np.frombuffer(words[k], np.uint64)).sum(1, dtype=np.int64)
-                near = 7 * apart <= sizes[i] + n[k]
-                i, apart = i[near], apart[near]
-                more = most is not None and len(i) > most
-                if more:
-                    i = i[np.argpartition(apart, most - 1)[:most]]
-                out += [(cid[k], ids[j], more) for j in i]
+            for token, part_of, probe, cid, n, place, part, words in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                if (token, part_of) != at:
+                    at, held, chunk = (token, part_of), [], None
+                if not probe:
+                    held.append((cid, n, place, part, words))
+                elif held:
+                    chunk = chunk or _Chunk(held)
+                    ids, more = chunk.near(n, place, part, words, most)
+                    out += [(token, cid, x, more) for x in ids]
             if out:
-                a, b, more = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(more)], ["a", "b", "more"])
+                kinds = pa.int64(), pa.binary(), pa.binary(), pa.bool_()
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["token", "a", "b", "more"])
 
     return rows
 
@@ -360,15 +381,19 @@ def _open_lists(entries: DataFrame, member: DataFrame) -> DataFrame:
     return entries.select("token", "gid", "place").join(lists, "token")
 
 
-def _candidates(lists: DataFrame, member: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b, more) of members of different components: each member outside its list's largest component against all chunks of the list."""
+def _candidates(lists: DataFrame, member: DataFrame, probes: DataFrame | None, most: int | None) -> DataFrame:
+    """Pairs (token, a, b, more) of members of different components: each probe (token, cid) against all chunks of its list; where no
+    probes are given, the members outside the list's largest component."""
     rows = lists.join(member, "gid")
-    outside = F.col("part") != F.col("largest")
+    if probes is None:
+        rows = rows.withColumn("asks", F.col("part") != F.col("largest"))
+    else:
+        rows = rows.join(probes.withColumn("asks", F.lit(True)), ["token", "cid"], "left")
     home = F.array(F.struct(F.pmod(F.xxhash64("cid"), F.col("chunks")).alias("chunk"), F.lit(False).alias("probe")))
-    meets = F.when(outside, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("probe")))).otherwise(F.array().cast("array<struct<chunk:bigint,probe:boolean>>"))
+    meets = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("probe")))).otherwise(F.array().cast("array<struct<chunk:bigint,probe:boolean>>"))
     dealt = rows.select("token", F.explode(F.concat(home, meets)).alias("to"), "cid", "n", "place", "part", "words").select("token", "to.chunk", "to.probe", "cid", "n", "place", "part", "words")
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "token", "chunk").sortWithinPartitions("token", "chunk", "probe").mapInArrow(trimmed(_nearest(most)), "a binary, b binary, more boolean")
+    return dealt.repartition(n, "token", "chunk").sortWithinPartitions("token", "chunk", "probe").mapInArrow(trimmed(_nearest(most)), "token bigint, a binary, b binary, more boolean")
 
 
 def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
@@ -403,22 +428,24 @@ def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
     touched = touched.union(many.select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     both = touched.select(F.xxhash64("a", "b").alias("token"), F.explode(F.array_distinct(F.array("a", "b"))).alias("gid"), F.lit(0).cast("bigint").alias("place"))
     lists = found.where("kind = 1").select("token", F.col("a").alias("gid"), "place").union(both)
+    probes = None
     for most in ROUNDS:
         named = written(named, "named")
         member = classes.join(named, "cid").select("cid", "gid", "n", "words", "part")
-        lists = written(_open_lists(lists, member), "lists")
-        if lists.isEmpty():
-            break
-        near = written(_candidates(lists, member, most).distinct(), "candidates")
-        last = near.where("more").isEmpty()
+        if probes is None:
+            lists = written(_open_lists(lists, member), "lists")
+        else:
+            lists = lists.join(probes.select("token").distinct(), "token", "left_semi")
+        near = written(_candidates(lists, member, probes, most), "candidates")
         more = written(_ordered(near).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(more)
+        probes = written(near.where("more").select("token", F.col("a").alias("cid")).distinct(), "probes")
+        last = probes.isEmpty()
         further = more if more.isEmpty() else _links(more, classes, docs)
         if further.isEmpty():
             if last:
                 break
-            tried = tried.union(more)
             continue
-        tried = tried.union(more)
         # Components of components: few vertices, whatever the size of each.
         bridges = further
         for side in ("a", "b"):
