@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.hashing import bucket_fill
+from .functions.hashing import FILTER_BITS, bucket_fill, mixed_sql
 from .operators import export, prep
 from .operators.graph import LabeledGraph
-from .operators.match import common_neighbours, count, count_many, frontier_sizes, match, match_stats, start_candidates, with_degrees
+from .operators.match import Prefiltered, common_neighbours, count, count_many, filter_candidates, frontier_sizes, match, match_stats, start_candidates, with_degrees
 from .plans.planner import Step, matching_order, used_tables
 from .plans.query import QueryGraph
 from .sources.tables import CUSTOMER, NATION, ORDER, PART, SUPPLIER, event_edges, event_graph, order_edges, order_graph
-from .sources.text import edge_list
+from .sources.text import edge_list, graph_from_lines, run_list
+from .streaming.batches import batch_counts
 
 # Labels and edges of the sample patterns.
 PATTERNS = {
@@ -31,6 +33,19 @@ ORDER_PATTERNS = {
 }
 PATH = QueryGraph.of([4, 4, 4], [(0, 1), (1, 2)])
 
+
+def rule_patterns(n: int = 30, labels: int = 5, seed: int = 1) -> dict[str, QueryGraph]:
+    """n connected patterns of 3 to 8 vertices: a random tree and further random edges, up to 26 in the densest."""
+    rng, out = random.Random(seed), {}
+    for k in range(n):
+        size = 3 + 6 * k // n
+        edges = {(rng.randrange(v), v) for v in range(1, size)}
+        rest = [(a, b) for b in range(size) for a in range(b) if (a, b) not in edges]
+        rng.shuffle(rest)
+        edges |= set(rest[: min(len(rest), 26 - len(edges)) * (k % 5) // 4])
+        out[f"p{k:02d}"] = QueryGraph.of([rng.randrange(labels) for _ in range(size)], sorted(edges))
+    return out
+
 EVENTS_SQL = """
     ev AS (SELECT user_id::BIGINT AS a, lead(user_id::BIGINT) OVER (ORDER BY ts, event_id) AS b FROM events),
     und AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM ev WHERE a <> b),
@@ -200,20 +215,67 @@ def degree_spread(spark, d):
     return event_graph(spark, d).degrees().agg(F.round(F.avg("degree"), 6).alias("mean"), F.round(F.stddev_pop("degree"), 6).alias("deviation"), F.count("*").alias("n"))
 
 
-@_query(None)
+@_query(_events(f"SELECT ls, ld, {mixed_sql('src')} & 15 AS bucket1, count(*) AS n_edges, count(DISTINCT {mixed_sql('dst')} & 7) AS used_buckets, count(DISTINCT {mixed_sql('dst', 1)} % 128) AS set_bits FROM e GROUP BY ALL"))
 def index_bucket_fill(spark, d):
     return bucket_fill(event_graph(spark, d).edges, 4, 3)
 
 
-@_query(None)
+@_query(_events(f"SELECT src AS id, ({mixed_sql('src', 7)} % 5)::INT AS label FROM (SELECT DISTINCT src FROM e)"))
 def pseudo_random_labels(spark, d):
     return prep.random_labels(event_graph(spark, d).vertices, 5, 7)
 
 
-def union_graph(spark: SparkSession) -> LabeledGraph:
-    """The sample patterns side by side, as a data graph."""
+@_query(_events(f"SELECT src, dst, ({mixed_sql('a * 31 + b', 7)} % 3)::INT AS label FROM (SELECT src, dst, {mixed_sql('least(src, dst)', 7)} AS a, {mixed_sql('greatest(src, dst)', 7)} AS b FROM e)"))
+def pseudo_random_edge_labels(spark, d):
+    return prep.random_edge_labels(event_graph(spark, d).edges.select("src", "dst"), 3, 7)
+
+
+@_query(match_sql(PATTERNS["q3"], EVENTS_SQL))
+def match_count_q3_prefilter(spark, d):
+    return count(Prefiltered.of(event_graph(spark, d).prepare(), PATTERNS["q3"]), PATTERNS["q3"])
+
+
+def _candidates_sql(query: QueryGraph) -> str:
+    """For each query vertex, the data vertices whose filter place some vertex holds for each label that is asked for."""
+    parts = []
+    for v, label in enumerate(query.labels):
+        tests = [f"h IN (SELECT {mixed_sql('src', 2)} % {FILTER_BITS} FROM e WHERE ls = {label} AND ld = {query.labels[n]})" for n in query.neighbours(v)]
+        parts.append(f"SELECT {v} AS vertex, count(*) AS n FROM v WHERE label = {label} AND {' AND '.join(tests)}")
+    return _events(f", v AS (SELECT DISTINCT src AS id, ls AS label, {mixed_sql('src', 2)} % {FILTER_BITS} AS h FROM e) " + " UNION ALL ".join(parts))
+
+
+@_query(_candidates_sql(PATTERNS["q3"]))
+def filter_candidates_q3(spark, d):
+    return filter_candidates(event_graph(spark, d), PATTERNS["q3"])
+
+
+@_query(_events(f"""SELECT b AS batch, count(a.src) AS n FROM range(4) r(b) LEFT JOIN
+    (SELECT a.src FROM e a, e b, e c WHERE a.ls = 2 AND a.ld = 0 AND b.ls = 2 AND b.ld = 3 AND c.ls = 0 AND c.ld = 3 AND b.src = a.src AND c.src = a.dst AND b.dst = c.dst) a
+    ON {mixed_sql('a.src', 3)} % 4 = r.b GROUP BY 1"""))
+def batched_count_q0(spark, d):
+    graph = event_graph(spark, d).prepare()
+    return spark.createDataFrame(list(enumerate(batch_counts(graph, PATTERNS["q0"], 4))), "batch bigint, n bigint")
+
+
+@_query(match_sql(PATTERNS["q0"], EVENTS_SQL))
+def rm_text_count_q0(spark, d):
+    """The events graph as lines of graph text and back, and a query that is text too."""
+    lines = export.rm(*_to_write(spark, d)).select(F.col("text").alias("value"))
+    noise = spark.createDataFrame([("# a comment",), ("v x 1 0",), ("e 1",), ("",)], "value string")
+    return count(graph_from_lines(lines.union(noise)).prepare(), QueryGraph.parse("t 3 3\nv 0 2 2\nv 1 0 2\nv 2 3 2\ne 0 1\ne 0 2\ne 1 2"))
+
+
+@_query("SELECT 'g' || r_regionkey AS datagraph, r_name AS querygraph, r_regionkey::BIGINT AS golden, 13 AS h1, 5 AS h2 FROM region")
+def run_list_rows(spark, d):
+    rows = spark.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("g"), "r_regionkey", F.lit("  "), F.translate("r_name", " ", "_"), F.lit("\t"), "r_regionkey", F.lit(" 13 5")).alias("value"))
+    read = run_list(rows.union(spark.createDataFrame([("#off q 0 1 2",), ("",)], "value string")))
+    return read.withColumn("querygraph", F.translate("querygraph", "_", " "))
+
+
+def union_graph(spark: SparkSession, patterns: dict[str, QueryGraph] | None = None) -> LabeledGraph:
+    """Patterns (those of the rule, unless given) side by side, as a data graph."""
     vertices, edges = [], []
-    for q in PATTERNS.values():
+    for q in (patterns or rule_patterns()).values():
         at = len(vertices)
         vertices += [(at + v, label) for v, label in enumerate(q.labels)]
         edges += [(at + a, at + b) for a, b in q.edges]
@@ -222,18 +284,19 @@ def union_graph(spark: SparkSession) -> LabeledGraph:
 
 def _union_sql() -> str:
     labels, edges = [], []
-    for q in PATTERNS.values():
+    patterns = rule_patterns()
+    for q in patterns.values():
         at = len(labels)
         edges += [(at + a, at + b) for a, b in q.edges]
         labels += q.labels
     both = [x for a, b in edges for x in ((a, b, labels[a], labels[b]), (b, a, labels[b], labels[a]))]
     graph = f"e(src, dst, ls, ld) AS (VALUES {', '.join(map(str, both))})"
-    return " UNION ALL ".join(f"SELECT '{k}' AS query, n FROM ({match_sql(q, graph)})" for k, q in PATTERNS.items())
+    return " UNION ALL ".join(f"SELECT '{k}' AS query, n FROM ({match_sql(q, graph)})" for k, q in patterns.items())
 
 
 @_query(_union_sql())
 def union_fixture_counts(spark, d):
-    return count_many(union_graph(spark).prepare(), PATTERNS)
+    return count_many(union_graph(spark).prepare(), rule_patterns())
 
 
 @_query("SELECT o_orderkey::BIGINT AS u, o_custkey::BIGINT AS v FROM orders")
@@ -245,8 +308,8 @@ def edge_list_parse(spark, d):
 
 def _to_write(spark, d) -> tuple[DataFrame, DataFrame]:
     """The events graph with dense ids, as the writers take it."""
-    edges = event_edges(spark, d).persist()
-    ids = prep.remap_sorted(edges.select(F.explode(F.array("src", "dst")).alias("id"))).persist()
+    edges = event_edges(spark, d)
+    ids = prep.remap_sorted(edges.select(F.explode(F.array("src", "dst")).alias("id")))
     vertices = ids.select(F.col("new_id").alias("id"), F.pmod("old_id", F.lit(5)).cast("int").alias("label"))
     new = edges.join(ids.toDF("src", "a"), "src").join(ids.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return vertices, new
@@ -286,7 +349,17 @@ _writer("stmatch_query", export.stmatch_query, _plain(["'# t 0'"], "concat_ws('
 _writer("gsi", lambda v, e: export.gsi(v, e, 5, 1), _plain(["'t # 0'", "concat_ws(' ', n, m, 6, 2)"], "concat_ws(' ', 'v', id, label)", "concat_ws(' ', 'e', src, dst)", "'t # -1'"))
 _writer("gf_edges", export.gf_edges, "SELECT k AS line, concat_ws(',', src, dst, 0) AS text FROM ne")
 _writer("gf_vertices", export.gf_vertices, "SELECT id AS line, concat_ws(',', id, label) AS text FROM v")
-_writer("gf_query", export.gf_query, "SELECT 0 AS line, string_agg('(' || src || ':' || a.label || ')-[0]->(' || dst || ':' || b.label || ')', ', ' ORDER BY src, dst) AS text FROM x JOIN v a ON a.id = x.src JOIN v b ON b.id = x.dst")
+
+
+@_query(f"""SELECT 0::BIGINT AS line, string_agg('(' || src || ':' || a.label || ')-[0]->(' || dst || ':' || b.label || ')', ', ' ORDER BY src, dst) AS text
+    FROM (VALUES {', '.join(map(str, PATTERNS['q3'].edges))}) x(src, dst) JOIN (VALUES {', '.join(map(str, enumerate(PATTERNS['q3'].labels)))}) a(id, label) ON a.id = x.src
+    JOIN (VALUES {', '.join(map(str, enumerate(PATTERNS['q3'].labels)))}) b(id, label) ON b.id = x.dst""")
+def export_gf_query(spark, d):
+    """A query graph, which is small, on one line."""
+    q = PATTERNS["q3"]
+    return export.gf_query(spark.createDataFrame(list(enumerate(q.labels)), "id bigint, label int"), spark.createDataFrame(list(q.edges), "src bigint, dst bigint"))
+
+
 _writer("ceci", export.ceci, _plain(["'t # 0'"], "concat_ws(' ', 'v', id, label)", "concat_ws(' ', 'e', src, dst, 0)"))
 _writer("vf3", export.vf3, """SELECT 0 AS line, '#Number of nodes' AS text UNION ALL SELECT 1, n::VARCHAR FROM c UNION ALL SELECT 2, '' UNION ALL SELECT 3, '#Node attributes'
     UNION ALL SELECT id + 4, concat_ws(' ', id, label) FROM v

@@ -100,27 +100,12 @@ def vf3(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     near = both.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("dst", "label"))).alias("near"))
     none = F.array().cast("array<struct<dst:bigint,label:int>>")
     rows = vertices.join(near, "id", "left").select("id", F.coalesce(F.col("near").cast("array<struct<dst:bigint,label:int>>"), none).alias("near"))
-    sizes = numbered(rows.withColumn("lines", F.size("near") + 3), "id", name="k")
     # A node's block begins after those of all nodes before it: a prefix sum by ranges of ids.
     text = F.concat(F.array(F.lit(""), F.concat(F.lit("#edges of node "), F.col("id")), F.size("near").cast("string")), F.transform("near", lambda x: F.concat_ws(" ", F.col("id"), x["dst"], x["label"])))
-    starts = _running(sizes.select("id", "k", "lines"))
-    blocks = sizes.join(starts, "id").select("begin", F.posexplode(text).alias("at", "text"))
+    blocks = numbered(rows.withColumn("lines", F.size("near") + 3), "id", name="begin", weight="lines").select("begin", F.posexplode(text).alias("at", "text"))
     return _lines(head, _vertex_lines(vertices, 4, "id", "label", prefix=""), blocks.select((F.col("begin") + F.col("at") + n + 4).alias("line"), "text"))
 
 
-def _running(rows: DataFrame) -> DataFrame:
-    """(id, begin): the sum of `lines` of the rows with smaller k, by blocks of k."""
-    from pyspark.sql import Window
-
-    size = 65536
-    placed = rows.withColumn("block", F.floor(F.col("k") / size))
-    blocks = placed.groupBy("block").agg(F.sum("lines").alias("total"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(offsets, "block").select("id", (F.col("offset") + F.coalesce(F.sum("lines").over(inside), F.lit(0))).alias("begin"))
-
-
 def ceci(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     n = vertices.count()
     return _lines(_head(vertices, "t # 0"), _vertex_lines(vertices, 1, "id", "label"), _edge_lines(_label(edges), n + 1, "src", "dst", "label"))

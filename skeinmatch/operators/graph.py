@@ -24,8 +24,8 @@ class LabeledGraph:
 
     @classmethod
     def from_frames(cls, vertices: DataFrame, edges: DataFrame) -> LabeledGraph:
-        """Edges with an end that is no vertex are dropped. Labels join the canonical edges once; then they turn round with them."""
-        vertices = vertices.select(F.col("id").cast("bigint").alias("id"), F.col("label").cast("int").alias("label")).dropDuplicates(["id"])
+        """Edges with an end that is no vertex are dropped; of a vertex with several labels the smallest counts. Labels join the canonical edges once; then they turn round with them."""
+        vertices = vertices.select(F.col("id").cast("bigint").alias("id"), F.col("label").cast("int").alias("label")).groupBy("id").agg(F.min("label").alias("label"))
         one = canonical(edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")))
         named = one.join(vertices.toDF("src", "ls"), "src").join(vertices.toDF("dst", "ld"), "dst").select("src", "dst", "ls", "ld")
         return cls(vertices, named.union(named.select("dst", "src", "ld", "ls")).toDF("src", "dst", "ls", "ld"))
@@ -34,6 +34,10 @@ class LabeledGraph:
         """Keep the edges, dealt by source, for the many joins of one or more matches."""
         return LabeledGraph(self.vertices, self.edges.repartition("src").persist(StorageLevel.MEMORY_AND_DISK))
 
+    def release(self) -> None:
+        """Give back what prepare keeps."""
+        self.edges.unpersist()
+
     def pair(self, a: int, b: int) -> DataFrame:
         """Edges from label a to label b: (src, dst)."""
         return self.edges.where((F.col("ls") == a) & (F.col("ld") == b)).select("src", "dst")

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import may_pass, pair_filters
 from ..plans.planner import Step, frugal_order, matching_order, steps
 from ..plans.query import QueryGraph
 from .graph import LabeledGraph
@@ -47,6 +48,44 @@ def _edge(graph: LabeledGraph, query: QueryGraph, b: int, v: int) -> DataFrame:
     return graph.pair(query.labels[b], query.labels[v]).toDF(_v(b), _v(v))
 
 
+class Prefiltered(LabeledGraph):
+    """A graph whose edges keep only vertices that may have a neighbour of each label that some query vertex of their label needs.
+
+    The test is a Bloom filter for each label pair, so it lets some others through; embeddings do not change."""
+
+    @classmethod
+    def of(cls, graph: LabeledGraph, query: QueryGraph) -> Prefiltered:
+        needs = candidate_needs(query)
+        filters = pair_filters(graph.edges, {(a, b) for a, sets in needs.items() for s in sets for b in s})
+
+        def kept(label: str, vertex: str):
+            tests = F.lit(False)
+            for a, sets in needs.items():
+                some = reduce(lambda x, y: x | y, (may_pass(vertex, [filters[a, b] for b in sorted(s)]) for s in sets))
+                tests = tests | ((F.col(label) == a) & some)
+            return tests
+
+        return cls(graph.vertices, graph.edges.where(kept("ls", "src") & kept("ld", "dst")))
+
+
+def candidate_needs(query: QueryGraph) -> dict[int, set[frozenset[int]]]:
+    """For each label, the sets of neighbours' labels of the query vertices that bear it."""
+    needs: dict[int, set[frozenset[int]]] = {}
+    for v, label in enumerate(query.labels):
+        near = frozenset(query.labels[n] for n in query.neighbours(v))
+        if near:
+            needs.setdefault(label, set()).add(near)
+    return needs
+
+
+def filter_candidates(graph: LabeledGraph, query: QueryGraph) -> DataFrame:
+    """(vertex, n): how many data vertices of its label pass the AND of the filters that each query vertex asks for."""
+    needs = {(v, query.labels[v]): sorted({query.labels[n] for n in query.neighbours(v)}) for v in range(len(query.labels))}
+    filters = pair_filters(graph.edges, {(label, b) for (_, label), near in needs.items() for b in near})
+    passes = [F.count_if((F.col("label") == label) & may_pass("id", [filters[label, b] for b in near])).alias(str(v)) for (v, label), near in needs.items()]
+    return graph.vertices.agg(*passes).unpivot([], [str(v) for v, _ in needs], "vertex", "n").select(F.col("vertex").cast("int").alias("vertex"), "n")
+
+
 def _extend_join(graph, query, frontier, step, bound):
     out = frontier.join(_edge(graph, query, step.back[0], step.vertex), _v(step.back[0])).where(_distinct_from(query, step.vertex, bound))
     for b in step.back[1:]:
@@ -131,9 +170,9 @@ def exists(graph: LabeledGraph, query: QueryGraph) -> bool:
 
 
 def count_many(graph: LabeledGraph, queries: dict[str, QueryGraph], strategy: str = "join") -> DataFrame:
-    """(query, n) over one prepared graph."""
-    frames = [count(graph, q, strategy).select(F.lit(name).alias("query"), "n") for name, q in queries.items()]
-    return reduce(DataFrame.unionByName, frames)
+    """(query, n) over one prepared graph, one query after another, so that a plan holds one query's joins."""
+    rows = [(name, count(graph, q, strategy).first()["n"]) for name, q in queries.items()]
+    return graph.edges.sparkSession.createDataFrame(rows, "query string, n bigint")
 
 
 def frontier_sizes(graph: LabeledGraph, query: QueryGraph, strategy: str = "join") -> DataFrame:

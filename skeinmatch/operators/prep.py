@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import mixed
 from ..functions.numbering import numbered
 
 
@@ -24,12 +25,12 @@ def remap_sorted(vertices: DataFrame) -> DataFrame:
 
 def random_labels(vertices: DataFrame, labels: int = 2, seed: int = 0) -> DataFrame:
     """(id, label): a fixed pseudo-random label for each vertex."""
-    return vertices.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(labels)).cast("int").alias("label"))
+    return vertices.select("id", (mixed("id", seed) % labels).cast("int").alias("label"))
 
 
 def random_edge_labels(edges: DataFrame, labels: int = 1, seed: int = 0) -> DataFrame:
     """Edges with a fixed pseudo-random label, the same in both directions."""
-    return edges.withColumn("label", F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"), F.lit(seed)), F.lit(labels)).cast("int"))
+    return edges.withColumn("label", (mixed(mixed(F.least("src", "dst"), seed) * 31 + mixed(F.greatest("src", "dst"), seed), seed) % labels).cast("int"))
 
 
 def used_edges(edges: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:

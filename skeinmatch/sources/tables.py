@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbering import numbered
+from ..functions.numbering import with_next
 from ..operators.graph import LabeledGraph, canonical
 
 CUSTOMER, ORDER, PART, SUPPLIER, NATION = range(5)
@@ -18,9 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of consecutive events by (ts, event_id), undirected and distinct."""
     events = table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.col("user_id").cast("bigint").alias("user_id"))
-    n = numbered(events, "at", "event_id").select("n", "user_id")
-    following = n.select((F.col("n") - 1).alias("n"), F.col("user_id").alias("dst"))
-    return canonical(n.join(following, "n").select(F.col("user_id").alias("src"), "dst"))
+    return canonical(with_next(events, "user_id", "at", "event_id").select(F.col("user_id").alias("src"), F.col("next").alias("dst")))
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> LabeledGraph:

@@ -15,10 +15,10 @@ def fields(lines: DataFrame) -> DataFrame:
 
 
 def graph_from_lines(lines: DataFrame) -> LabeledGraph:
-    """Lines `t N M`, `v id label [degree]`, `e src dst`."""
+    """Lines `t N M`, `v id label [degree]`, `e src dst`. Lines that lack a whole number where one belongs are left out."""
     f = fields(lines)
-    vertices = f.where("f[0] = 'v'").select(F.expr("cast(f[1] as bigint)").alias("id"), F.expr("cast(f[2] as int)").alias("label"))
-    edges = f.where("f[0] = 'e'").select(F.expr("cast(f[1] as bigint)").alias("src"), F.expr("cast(f[2] as bigint)").alias("dst"))
+    vertices = f.where("f[0] = 'v'").select(F.expr("try_cast(get(f, 1) as bigint)").alias("id"), F.expr("try_cast(get(f, 2) as int)").alias("label")).dropna()
+    edges = f.where("f[0] = 'e'").select(F.expr("try_cast(get(f, 1) as bigint)").alias("src"), F.expr("try_cast(get(f, 2) as bigint)").alias("dst")).dropna()
     return LabeledGraph.from_frames(vertices, edges)
 
 

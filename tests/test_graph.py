@@ -1,12 +1,20 @@
+import math
+import os
 import random
+import re
 from itertools import permutations
+from pathlib import Path
 
 import pytest
 
-from skeinmatch.catalogue import PATTERNS, union_graph
+from skeinmatch import cli
+from skeinmatch.catalogue import PATTERNS, rule_patterns, union_graph
+from skeinmatch.functions import numbering
 from skeinmatch.operators import export, prep
 from skeinmatch.operators.graph import LabeledGraph
-from skeinmatch.operators.match import count, count_many, exists, frontier_sizes, match, match_stats
+from skeinmatch.operators.match import Prefiltered, count, count_many, exists, filter_candidates, frontier_sizes, match, match_stats
+from skeinmatch.operators.limits import within
+from skeinmatch.plans.estimate import estimate, index_widths
 from skeinmatch.plans.planner import frugal_order, matching_order, used_tables
 from skeinmatch.plans.query import QueryGraph
 from skeinmatch.sources.text import edge_list, graph_from_lines, run_list
@@ -56,18 +64,84 @@ def test_against_brute_force(spark, seed):
         assert match(graph, query).count() == want and exists(graph, query) == (want > 0)
 
 
-def test_counts_of_sample_patterns(spark):
-    got = {r["query"]: r["n"] for r in count_many(union_graph(spark).prepare(), PATTERNS).collect()}
-    labels, edges = [], []
-    for q in PATTERNS.values():
-        edges += [(len(labels) + a, len(labels) + b) for a, b in q.edges]
-        labels += q.labels
-    import duckdb
-
-    from skeinmatch.catalogue import ORACLE_SQL
-
-    assert got == dict(duckdb.sql(ORACLE_SQL["union_fixture_counts"]).fetchall())
-    assert got["q3"] == 2 and got["q8"] == 2
+def test_counts_of_rule_patterns(spark):
+    patterns = rule_patterns()
+    assert len(patterns) == 30 and max(len(q.labels) for q in patterns.values()) == 8 and max(len(q.edges) for q in patterns.values()) >= 20
+    few = {k: patterns[k] for k in ("p00", "p07", "p14", "p29")}
+    got = {r["query"]: r["n"] for r in count_many(union_graph(spark, few).prepare(), few).collect()}
+    for name, q in few.items():
+        assert got[name] == sum(brute(list(g.labels), list(g.edges), q) for g in few.values())  # connected, so inside one pattern
+
+
+@pytest.mark.skipif("SKEIN_PATTERNS" not in os.environ, reason="SKEIN_PATTERNS names a folder of 30 numbered pattern files")
+def test_pattern_files(spark):
+    """Orders, tables and counts of all pattern files, against the table in FIXTURES.md."""
+    table = (Path(__file__).parents[1] / "FIXTURES.md").read_text()
+    rows = [[c.strip() for c in x.split("|")[1:-1]] for x in re.findall(r"(?m)^\|\s*\d+ \|.*$", table)]
+    want = {f"q{r[0]}": (list(map(int, r[4].split())), int(r[5]), int(r[7])) for r in rows if len(r) == 9}
+    files = {int(re.search(r"\d+", f.name)[0]): f for f in Path(os.environ["SKEIN_PATTERNS"]).iterdir()}
+    queries = {f"q{k}": QueryGraph.parse(files[k].read_text()) for k in sorted(files)}
+    got = {r["query"]: r["n"] for r in count_many(union_graph(spark, queries).prepare(), queries).collect()}
+    assert len(want) == 30
+    assert {k: (matching_order(q), len(used_tables(q, matching_order(q))), got[k]) for k, q in queries.items()} == want
+
+
+def test_estimates():
+    q, sizes = PATTERNS["q0"], {(2, 0): (100, 20), (2, 3): (50, 10), (0, 3): (40, 10), (0, 2): (100, 30), (3, 2): (50, 20), (3, 0): (40, 10)}
+    e = estimate(q, sizes, {0: 30, 2: 20, 3: 40}, 9)
+    assert e.order == [0, 1, 2] and len(e.tables) == 3 and len(e.frontier) == 3 and e.frontier[0] == 10 and e.fits(1 << 28) and not e.fits(1000)
+    for edges in (1, 1000, 180000, 3 * 10**6):
+        for degree in (1, 5, 1000):
+            for tables in (1, 4, 11):
+                h1, h2 = index_widths(edges, degree, tables)
+                assert h2 >= 0 and tables * 2 ** (h1 + h2 - 14) <= 4096 and (h2 == 0 or tables * 4 * 2 ** (h1 + h2) + 16 * edges <= 1 << 28)
+    assert index_widths(183831, 1383, 4) == (int(0.4 * math.log(5e7 * 183831)) + 2, 7)
+
+
+def test_numbering(spark, monkeypatch):
+    """Many ranges, one key that repeats, ties, running sums and following rows."""
+    monkeypatch.setattr(numbering, "RANGE_ROWS", 3)
+    rng = random.Random(2)
+    rows = [(5 if k % 3 else rng.randrange(10), k, rng.randrange(4)) for k in range(700)]
+    df = spark.createDataFrame(rows, "at bigint, tie bigint, w bigint")
+    order = sorted(rows)
+    assert [r[:3] for r in sorted(map(tuple, numbering.numbered(df, "at", "tie").collect()), key=lambda r: r[3])] == order
+    sums = {r["tie"]: r["n"] for r in numbering.numbered(df, "at", "tie", weight="w").collect()}
+    assert [sums[r[1]] for r in order] == [sum(x[2] for x in order[:k]) for k in range(len(order))]
+    following = {r["tie"]: r["next"] for r in numbering.with_next(df, "tie", "at", "tie").collect()}
+    assert [following[r[1]] for r in order] == [*(r[1] for r in order[1:]), None]
+    assert numbering.numbered(df.limit(0), "at", "tie").count() == numbering.with_next(df.limit(0), "tie", "at").count() == 0
+
+
+def test_prefilter(spark):
+    rng = random.Random(6)
+    labels, edges = [rng.randrange(3) for _ in range(60)], [(rng.randrange(60), rng.randrange(60)) for _ in range(80)]
+    graph, query = graph_of(spark, labels, edges).prepare(), QueryGraph.of([0, 1, 2, 0], [(0, 1), (1, 2), (1, 3)])
+    less = Prefiltered.of(graph, query)
+    assert n_of(count(less, query)) == n_of(count(graph, query)) > 0
+    assert less.edges.count() < graph.edges.count()
+    near = {v: {labels[b] for e in edges for a, b in (e, e[::-1]) if a == v and a != b} for v in range(60)}
+    for r in filter_candidates(graph, query).collect():
+        exact = sum(labels[v] == query.labels[r["vertex"]] and {query.labels[n] for n in query.neighbours(r["vertex"])} <= near[v] for v in range(60))
+        assert exact <= r["n"] <= labels.count(query.labels[r["vertex"]])
+
+
+def test_time_limit(spark):
+    assert within(spark, 60, lambda: spark.range(5).count()) == 5
+    with pytest.raises(TimeoutError):
+        within(spark, 0.5, lambda: spark.range(10**13).selectExpr("sum(sqrt(id))").collect())
+    assert spark.range(3).count() == 3
+
+
+def test_run_list(spark, tmp_path):
+    (tmp_path / "g").write_text("t 3 3\nv 0 1 2\nv 1 1 2\nv 2 2 2\ne 0 1\ne 0 2\ne 1 2\n")
+    (tmp_path / "q").write_text("t 2 1\nv 0 1 1\nv 1 2 1\ne 0 1\n")
+    (tmp_path / "runs").write_text(f"# runs\n{tmp_path}/g {tmp_path}/q 2 13 5\n{tmp_path}/g {tmp_path}/q 3 0 0\n")
+    assert cli.main([str(tmp_path / "runs"), str(tmp_path / "out"), "--stats", "--prefilter"]) == 1
+    got = spark.read.csv(str(tmp_path / "out"), header=True, inferSchema=True).orderBy("golden").collect()
+    assert got[0].asDict().keys() == {f.split()[0] for f in cli.RESULTS.split(", ")} | {"golden", "passed"}
+    assert [(r["matches"], r["passed"], r["req_intersect"], r["hit_verify"], r["bloom_filtered"]) for r in got] == [(2, True, 2, 2, 0), (2, False, 2, 2, 0)]
+    assert (got[0]["h1"], got[0]["h2"]) == (13, 5) and got[1]["h1"] > 0
 
 
 def test_rules(spark):
@@ -90,7 +164,7 @@ def test_statistics(spark):
 
 
 def test_sources(spark):
-    lines = spark.createDataFrame([("t 3 2",), ("v 0 1 1",), ("v 1 2 2",), ("v 2 1 1",), ("",), ("# note",), ("e 0 1",), ("e  1\t2",)], "value string")
+    lines = spark.createDataFrame([("t 3 2",), ("v 0 1 1",), ("v 1 2 2",), ("v 2 1 1",), ("",), ("# note",), ("e 0 1",), ("e  1\t2",), ("v 9",), ("e 1 x",), ("v 1 7 0",)], "value string")
     assert n_of(count(graph_from_lines(lines), QueryGraph.of([1, 2, 1], [(0, 1), (1, 2)]))) == 2
     pairs = edge_list(spark.createDataFrame([("1 2",), ("3\t 4 ",), ("5",), ("a b",), ("1 2 3",)], "value string"))
     assert sorted(tuple(r) for r in pairs.collect()) == [(1, 2), (3, 4)]
