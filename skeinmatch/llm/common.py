@@ -10,6 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised code handles at a time.
 CHUNK_BYTES = 1 << 19
@@ -38,8 +39,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def as_uri(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+def as_uri(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, by Spark's default file system where it names none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -137,6 +141,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def hash_place(*columns: str):
+    """A place from 0 to 2**62 - 1 for a row, by a hash of its columns."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def hash_share(most: int, size: int):
+    """The places below which about `most` of `size` rows lie; never none, whatever the size."""
+    return F.lit(max(1, min(1 << 62, (1 << 62) * most // max(size, 1)))).cast("bigint")
+
+
 def filtered(df: DataFrame, keep_mask, text_col: str = "text") -> DataFrame:
     """The rows of df, all columns as they are, whose text keep_mask(list of texts) says True for. No shuffle."""
 

@@ -15,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunked, filtered, text_column, trimmed
+from .common import bounded, chunked, filtered, hash_place, hash_share, text_column, trimmed
 
 #: Training documents a language, at most (in expectation), taken by a hash of the id.
 PER_LANGUAGE = 4000
 #: A second language whose share of the decoded weight comes this close makes a prediction ambiguous.
 AMBIGUOUS = 0.10
+#: A loss of the nearest codeword from here on is that of a text in no learned language: held-out rows of sf0.1 stay below 0.29, noise
+#: and other languages mostly lie above; a coin's toss would lose 0.69.
+MOST_LOSS = 0.35
+CODES = 32
 _SIZE = 1 << 16
 _SEGMENT = 1 << 18
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -44,18 +48,25 @@ def gram_counts(texts: list[bytes | None]) -> np.ndarray:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n codewords of -1 and 1: the exhaustive code up to 6 languages, else a fixed random code without equal or constant columns."""
+    """n codewords of -1 and 1: the exhaustive code up to 6 languages; else of CODES fixed random codes without equal or constant
+    columns that whose nearest two codewords are furthest apart. Bits grow with the logarithm of n, and so does the model."""
     if n <= 1:
         return np.ones((n, 1), np.int8)
     if n <= 6:
-        columns = [(1, *c) for c in product((1, -1), repeat=n - 1)][1:]
-    else:
-        rng, columns = np.random.default_rng(11), []
+        return np.array([(1, *c) for c in product((1, -1), repeat=n - 1)][1:], np.int8).T
+    best = None
+    for seed in range(CODES):
+        rng, columns = np.random.default_rng(seed), []
         while len(columns) < int(np.ceil(10 * np.log2(n))):
             c = tuple(rng.permutation(np.resize([1, -1], n)).tolist())
             if c not in columns and tuple(-x for x in c) not in columns:
                 columns.append(c)
-    return np.array(columns, np.int8).T
+        code = np.array(columns, np.int8).T
+        wide = code.astype(np.int32)
+        least = ((code.shape[1] - wide @ wide.T) // 2 + np.eye(n, dtype=np.int32) * code.shape[1]).min()
+        if best is None or least > best[0]:
+            best = least, code
+    return best[1]
 
 
 class Model:
@@ -97,11 +108,11 @@ class Model:
             out[lo:hi] = sums / np.maximum(n, 1)[:, None] / 2
         return out
 
-    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, share of the decoded weight, and whether the second codeword is close."""
+    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, share of the decoded weight, whether the second codeword is close, and the nearest codeword's loss."""
         known = [has_letter(t) and bool(self.langs) for t in texts]
         if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool), np.ones(len(texts))
         m = self.margins(texts) * self.scale
         loss = (np.logaddexp(0, -m[:, None, :] * self.code[None]) * self.bit_weights).sum(2)
         share = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
@@ -110,7 +121,7 @@ class Model:
         top = np.sort(share, 1)[:, ::-1]
         close = top[:, 0] - (top[:, 1] if share.shape[1] > 1 else 0) < AMBIGUOUS
         score = np.where(known, np.round(top[:, 0], 6), 0.0)
-        return [self.langs[b] if k else "und" for b, k in zip(best, known)], score, close | ~np.array(known, bool)
+        return [self.langs[b] if k else "und" for b, k in zip(best, known)], score, close | ~np.array(known, bool), loss.min(1)
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -120,14 +131,15 @@ def has_letter(text: bytes | None) -> bool:
 
 
 def fit(docs: DataFrame, trains=None) -> Model:
-    """Learn from text and non-null lang of the rows for which `trains` holds; at most about PER_LANGUAGE rows of a language."""
+    """Learn from text and non-null lang of the rows for which `trains` holds; at most about PER_LANGUAGE rows of a language,
+    chosen by a hash of id and text. No such rows, as in an empty table: a model that names no language. Other columns are not read."""
     rows = docs.where((F.lit(True) if trains is None else trains) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], [])
-    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1000000, 1000000 * PER_LANGUAGE // sizes[k]))))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1000000)) < share[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*(x for k in langs for x in (F.lit(k), hash_share(PER_LANGUAGE, sizes[k]))))
+    sample = rows.where(hash_place("doc_id", "text") < share[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
@@ -139,23 +151,35 @@ def fit(docs: DataFrame, trains=None) -> Model:
         if seen:
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(seen)), "counts": pa.array([zlib.compress(c.tobytes(), 1) for c in seen.values()], pa.binary())})
 
+    def add(batches):
+        seen: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                c = np.frombuffer(zlib.decompress(blob), np.int64)
+                seen[k] = seen[k] + c if k in seen else c
+        if seen:
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(seen)), "counts": pa.array([zlib.compress(c.tobytes(), 1) for c in seen.values()], pa.binary())})
+
+    kind = "lang string, counts binary"
+    tables = bounded(sample).mapInArrow(trimmed(count), kind).repartition(min(len(langs), 64), "lang").mapInArrow(trimmed(add), kind)
     total = {k: np.zeros((2, _SIZE), np.int64) for k in langs}
-    for r in bounded(sample).coalesce(12).mapInArrow(trimmed(count), "lang string, counts binary").toLocalIterator():
-        total[r["lang"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64).reshape(2, _SIZE)
+    for r in tables.collect():  # a table for each language
+        total[r["lang"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64).reshape(2, _SIZE)
     return Model(langs, [total[k] for k in langs])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, ...): doc_id, lang_pred, score, ambiguous. Null text or no letter: und, 0, ambiguous. Rows repeat as they are."""
+    """docs (doc_id, text, ...): doc_id, lang_pred, score, ambiguous, loss. Null or empty text or no letter: und, 0, ambiguous. Very long texts are read
+    whole. Languages that tie go by their names. Rows repeat as they are, no rows give none, ids may be null; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, getattr(model, "weights", None), getattr(model, "bit_weights", None), getattr(model, "scale", None)))
 
     def rows(batches):
         m = restored(shared.value)
         for batch in batches:
-            lang, score, close = m.predict(text_column(batch, "text"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
+            lang, score, close, loss = m.predict(text_column(batch, "text"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_()), pa.array(np.round(loss, 6), pa.float64())], ["doc_id", "lang_pred", "score", "ambiguous", "loss"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(trimmed(rows), "doc_id bigint, lang_pred string, score double, ambiguous boolean")
+    return bounded(docs).select("doc_id", "text").mapInArrow(trimmed(rows), "doc_id bigint, lang_pred string, score double, ambiguous boolean, loss double")
 
 
 def restored(state) -> Model:
@@ -166,11 +190,17 @@ def restored(state) -> Model:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language the model names; texts without a letter go. All columns stay, without a shuffle."""
+    """The rows of docs whose language the decoding is sure of: texts without a letter, those between two codewords and those whose
+    nearest codeword loses MOST_LOSS or more go. All columns stay, whatever their names, without a shuffle; nulls and the rest as in predict."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, getattr(model, "weights", None), getattr(model, "bit_weights", None), getattr(model, "scale", None)))
 
     def make():
         m = restored(shared.value)
-        return lambda texts: [x != "und" for x in m.predict(texts)[0]]
+
+        def sure(texts):
+            lang, _, close, loss = m.predict(texts)
+            return [x != "und" and not c and y < MOST_LOSS for x, c, y in zip(lang, close, loss)]
+
+        return sure
 
     return filtered(docs, make)

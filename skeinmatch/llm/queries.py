@@ -24,7 +24,7 @@ def fold(n: int, k: int):
 def op1_language_ecoc(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = lang_ecoc.fit(docs, ~fold(3, 1))
-    return lang_ecoc.predict(docs, model).select("doc_id", fold(3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return lang_ecoc.predict(docs, model).select("doc_id", fold(3, 1).alias("held_out"), "lang_pred", "score", "ambiguous", "loss")
 
 
 def op2_vector_shards(spark, sf_dir):

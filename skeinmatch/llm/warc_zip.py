@@ -192,7 +192,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
     Files of lost or repeated tasks are not in it."""
     spark = pages.sparkSession
-    folder = as_uri(fresh_path(spark, "archives"))
+    folder = as_uri(spark, fresh_path(spark, "archives"))
     fs, base = open_fs(folder)
     fs.create_dir(base, recursive=True)
     return written(decided(bounded(pages).select("page_id", "url", "html")).mapInArrow(trimmed(_writer(folder)), "folder string, path string, records bigint"), "manifest")

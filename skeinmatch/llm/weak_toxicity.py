@@ -1,9 +1,11 @@
 """Toxicity by weak supervision (operator 10).
 
-Lexicon voters fire when a text holds one of their words or word stems, which are chosen from labelled rows; pattern voters fire on
-how many such words there are and how dense they are, and the annotator's label is a voter too. A generative label model (expectation maximisation over a latent class) finds
-how often each voter fires in either class, and damps voters whose firings correlate within a class. Its posteriors are
-the labels on which a linear classifier over the same voters is trained; that classifier scores every document.
+Lexicon voters are lists of terms, one list for each kind of evidence (a word; one, two or three different words on one stem) and
+each of six strata of precision; terms are chosen from labelled rows. Pattern voters look at how many such terms there are and how dense they
+are, and the annotator's label is a voter like the others. A voter says toxic when it fires, clean when it had words enough to
+fire on and did not, and else abstains; one pattern voter fires for clean texts. A generative label model (expectation maximisation over a latent class, begun from the
+voters' majority, not from the annotator) estimates each voter's accuracy in either class and the voters' correlations within the classes, which set
+how much each may say. Its posteriors are the labels on which a linear classifier over the text's voters is trained; that classifier scores every document.
 """
 
 from __future__ import annotations
@@ -15,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, filtered, text_column, trimmed
+from .common import bounded, filtered, hash_place, hash_share, text_column, trimmed
 
 #: Labelled rows of each class from which words are chosen and the models fitted, at most (in expectation).
 PER_CLASS = 8000
 #: Words and stems in the lexicon, at most; the least count and lift of each.
 WORDS, LEAST_COUNT, LEAST_LIFT = 2048, 5, 20.0
-LEXICON_VOTERS = 24
+#: Kinds of evidence times strata of precision.
+LEXICON_VOTERS, KINDS = 24, 4
+PATTERN_VOTERS = 7
+#: Words from which on a voter that does not fire says clean.
+ENOUGH = 12
 #: Bytes of a stem; a stem is a term for one, two and three different words that begin with it.
 STEMS = (4, 5)
 THRESHOLD = 0.3
@@ -47,9 +53,11 @@ class Model:
         self.lexicon, self.weights, self.accuracies = lexicon, weights, accuracies
         self.keys = frozenset(lexicon)
 
-    def votes(self, texts: list[bytes | None]) -> np.ndarray:
-        """One row a text: LEXICON_VOTERS lexicon voters, then the pattern voters."""
-        out = np.zeros((len(texts), LEXICON_VOTERS + 6))
+    def votes(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """One row a text: which lexicon voters, then which pattern voters fire; and whether the text has words enough for a say of clean.
+
+        The last pattern voter fires where no term of the lexicon is found in a text of enough words: it speaks for clean."""
+        out, enough = np.zeros((len(texts), LEXICON_VOTERS + PATTERN_VOTERS)), np.zeros(len(texts), bool)
         for i, t in enumerate(texts):
             found, n = terms(t)
             hits = found & self.keys
@@ -57,44 +65,59 @@ class Model:
             for w in hits:
                 voter = self.lexicon[w]
                 out[i, voter] = 1
-                if voter < LEXICON_VOTERS // 2:  # the stronger half
+                if voter < LEXICON_VOTERS // 2:  # the stronger strata
                     stems += w.endswith(b"*")
                     k += not w.endswith(b"*")
-            out[i, LEXICON_VOTERS:] = (k >= 1, k >= 2, k >= 3, stems >= 2, stems >= 4, 100 * k >= n > 0)
-        return out
+            enough[i] = n >= ENOUGH
+            out[i, LEXICON_VOTERS:] = (k >= 1, k >= 2, k >= 3, stems >= 2, stems >= 4, 100 * k >= n > 0, not hits and enough[i])
+        return out, enough
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        x = self.votes(texts) @ self.weights[1:] + self.weights[0]
+        x = self.votes(texts)[0] @ self.weights[1:] + self.weights[0]
         return np.round(1 / (1 + np.exp(-x)), 6)
 
 
-def label_model(v: np.ndarray, prior: float, start: np.ndarray, undamped=(), rounds: int = 40):
-    """Posterior of the toxic class for each row of votes, and each voter's rate of firing in either class.
+def label_model(v: np.ndarray, rounds: int = 60):
+    """Posterior of the toxic class for each row of votes (1 toxic, -1 clean, 0 abstains); each voter's rate of saying toxic in either
+    class among its votes; the voters' correlations within the classes; the share of the toxic class.
 
-    start: a first guess of the posterior. Correlated voters share their say: a voter's log odds are divided by one plus the
-    sum of its positive within-class correlations with the others."""
-    q, damp = np.clip(start, 0.02, 0.98), np.ones(v.shape[1])
-    for k in range(rounds):
-        one = (q @ v + 0.5) / (q.sum() + 1)
-        zero = ((1 - q) @ v + 0.05) / ((1 - q).sum() + 1)
-        if k == rounds // 2:
-            damp = 1 / (1 + _correlations(v, q, one, zero))
-            damp[undamped] = 1
-        odds = np.log(prior / (1 - prior)) + (v * np.log(one / zero) + (1 - v) * np.log((1 - one) / (1 - zero))) @ damp
+    Voters that repeat one another share their say: it is found by generalised least squares, R**-1 1, from the correlations R
+    within the classes, pooled, anew in each round. The first guess of the posterior is the share of the says that are toxic, each voter
+    counted by how rarely it says so and by its say under the correlations in all rows."""
+    says, toxic = v != 0, v > 0
+    rate = (toxic.sum(0) + 1) / (says.sum(0) + 2)
+    say = _say(_correlations(toxic, says, np.ones(len(v)), rate, rate)) * -np.log(rate)
+    first = (toxic * say).sum(1) / np.maximum((says * say).sum(1), 1e-9)
+    q = np.where(toxic.any(1), np.clip(2 * first, 0.05, 0.95), 0.05)
+    for _ in range(rounds):
+        prior = float(np.clip(q.mean(), 1e-4, 1 - 1e-4))
+        one = (q @ toxic + 0.5) / (q @ says + 1)
+        zero = ((1 - q) @ toxic + 0.5) / ((1 - q) @ says + 1)
+        correlations = _correlations(toxic, says, q, one, zero)
+        for_toxic, for_clean = np.log(one / zero), np.log((1 - one) / (1 - zero))
+        odds = np.log(prior / (1 - prior)) + np.where(toxic, for_toxic, np.where(says, for_clean, 0)) @ _say(correlations)
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return q, one, zero
+    return q, one, zero, correlations, prior
+
+
+def _say(correlations: np.ndarray) -> np.ndarray:
+    n = len(correlations)
+    return np.clip(np.linalg.solve(correlations + 0.05 * np.eye(n), np.full(n, 1.05)), 0.02, 1)
 
 
-def _correlations(v, q, one, zero):
-    total = np.zeros(v.shape[1])
+def _correlations(toxic, says, q, one, zero):
+    """Correlations of the voters' says within the classes, pooled; negative ones, which come from terms that replace one another, count as none."""
+    total, size = np.zeros((toxic.shape[1],) * 2), np.zeros((toxic.shape[1],) * 2)
     for weight, mean in ((q, one), (1 - q, zero)):
-        r = (v - mean) * np.sqrt(weight)[:, None]
-        c = r.T @ r / max(weight.sum(), 1e-9)
-        sd = np.sqrt(np.maximum(np.diag(c), 1e-9))
-        c = np.clip(c / sd / sd[:, None], 0, 1)
-        np.fill_diagonal(c, 0)
-        total = np.maximum(total, np.where(c > 0.1, c, 0).sum(0))
-    return total
+        r = np.where(says, toxic - mean, 0) * np.sqrt(weight)[:, None]
+        c, n = r.T @ r, (says * weight[:, None]).T @ says
+        sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
+        # A class counts by how much its members vary there.
+        total += c
+        size += n * sd * sd[:, None]
+    c = np.clip(total / np.maximum(size, 1e-9), 0, 1)
+    np.fill_diagonal(c, 1)
+    return c
 
 
 def linear_fit(x: np.ndarray, q: np.ndarray, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
@@ -110,15 +133,16 @@ def linear_fit(x: np.ndarray, q: np.ndarray, rounds: int = 25, ridge: float = 1.
 
 
 def fit(docs: DataFrame, labels: DataFrame, trains=None) -> Model:
-    """Learn from text and labels.toxic of the rows for which `trains` (over doc_id) holds. Without both classes: a model that scores 0.
+    """Learn from text and labels.toxic of the rows for which `trains` (over doc_id) holds. Without both classes, as in empty tables: a model that scores 0.
 
-    Reads at most about PER_CLASS rows a class, chosen by a hash of the id, each text once."""
-    rows = labels.where((F.lit(True) if trains is None else trains) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    Reads at most about PER_CLASS rows a class, chosen by a hash of the id, each text once; of several labels of an id the largest. Terms that
+    tie in count go by their bytes. Null ids and labels are not read, nor are other columns of either table."""
+    rows = labels.select("doc_id", "toxic").where((F.lit(True) if trains is None else trains) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return Model({}, np.r_[-20.0, np.zeros(LEXICON_VOTERS + 6)])
-    share = F.when(F.col("toxic") == 1, min(1000000, 1000000 * PER_CLASS // sizes[1])).otherwise(min(1000000, 1000000 * PER_CLASS // sizes[0]))
-    ids = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1000000)) < share)  # bounded by 2 PER_CLASS, so it may be broadcast
+        return Model({}, np.r_[-20.0, np.zeros(LEXICON_VOTERS + PATTERN_VOTERS)])
+    share = F.when(F.col("toxic") == 1, hash_share(PER_CLASS, sizes[1])).otherwise(hash_share(PER_CLASS, sizes[0]))
+    ids = rows.where(hash_place("doc_id") < share)  # about 2 PER_CLASS at most, so it may be broadcast
     sample = bounded(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
 
     def count(batches):
@@ -140,35 +164,39 @@ def fit(docs: DataFrame, labels: DataFrame, trains=None) -> Model:
     total1, total0 = min(n1, PER_CLASS), min(n0, PER_CLASS)
     lift = ((F.col("one") + 0.5) / (total1 + 1)) / ((F.col("zero") + 0.5) / (total0 + 1))
     chosen = counts.where((F.col("term") != F.lit(b"")) & (F.col("one") >= LEAST_COUNT) & (lift >= LEAST_LIFT)).orderBy(F.desc("one"), "term").limit(WORDS).collect()
-    # Terms of like precision share a stratum, which is dealt to four voters.
-    strata = LEXICON_VOTERS // 4
+    # Terms of like precision share a stratum; a stratum has a voter for each kind of evidence.
+    strata = LEXICON_VOTERS // KINDS
     by_strength = sorted(chosen, key=lambda r: (-r["one"] / (r["one"] + (r["zero"] + 0.5) * total1 / total0), -r["one"], bytes(r["term"])))
-    lexicon = {bytes(r["term"]): 4 * (i * strata // len(by_strength)) + i % 4 for i, r in enumerate(by_strength)}
-    model = Model(lexicon, np.zeros(LEXICON_VOTERS + 7))
+    lexicon = {bytes(r["term"]): KINDS * (i * strata // len(by_strength)) + min(bytes(r["term"]).count(b"*"), KINDS - 1) for i, r in enumerate(by_strength)}
+    model = Model(lexicon, np.zeros(LEXICON_VOTERS + PATTERN_VOTERS + 1))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def vote(batches):
         m = Model(shared.value, np.zeros(1))
         for batch in batches:
-            v = m.votes(text_column(batch, "text"))
-            bits = (v.astype(np.int64) << np.arange(v.shape[1])).sum(1)
+            v, enough = m.votes(text_column(batch, "text"))
+            bits = (np.column_stack([v, enough]).astype(np.int64) << np.arange(v.shape[1] + 1)).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(bits, pa.int64())], ["toxic", "votes"])
 
     # Voters are few, so rows of votes fold to their counts; no more rows come here than the sample has.
     cast = sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(trimmed(vote), "toxic int, votes bigint").groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()
     bits = np.repeat([r["votes"] for r in cast], [r["n"] for r in cast]).astype(np.int64)
     toxic = np.repeat([r["toxic"] for r in cast], [r["n"] for r in cast])
-    v = (bits[:, None] >> np.arange(LEXICON_VOTERS + 6) & 1).astype(float)
-    # The annotator is one more voter, whose accuracy is estimated with the others'; the classifier does not see it.
-    judged = np.column_stack([v, toxic == 1]).astype(float)
-    q, one, zero = label_model(judged, float(np.clip((toxic == 1).mean(), 0.01, 0.99)), np.where(toxic == 1, 0.9, 0.1), [v.shape[1]])
+    both = bits[:, None] >> np.arange(LEXICON_VOTERS + PATTERN_VOTERS + 1) & 1
+    v, enough = both[:, :-1].astype(float), both[:, -1:] == 1
+    if not len(v):  # labels without a document
+        return Model({}, np.r_[-20.0, np.zeros(LEXICON_VOTERS + PATTERN_VOTERS)])
+    # The voter for clean texts says clean where it fires; the annotator is one more voter, whom the classifier does not see.
+    said = np.where(v == 1, 1, np.where(enough, -1, 0))
+    said[:, -1] = np.where(v[:, -1] == 1, -1, np.where(enough[:, 0], 1, 0))
+    q, *model.accuracies = label_model(np.column_stack([said, np.where(toxic == 1, 1, -1)]))
     model.weights = linear_fit(v, q)
-    model.accuracies = np.stack([one, zero])
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, ...): doc_id, score in 0 to 1, predicted. Null and empty texts get the score of a text without words."""
+    """docs (doc_id, text, ...): doc_id, score in 0 to 1, predicted. Null and empty texts get the score of a text without words; very long ones are read whole.
+    Repeated rows repeat, no rows give none, ids may be null; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.weights))
 
     def rows(batches):
@@ -181,7 +209,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs scored below THRESHOLD, all columns, without a shuffle."""
+    """The rows of docs scored below THRESHOLD, all columns whatever their names, without a shuffle; nulls and the rest as in score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.weights))
 
     def make():
