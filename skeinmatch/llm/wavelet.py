@@ -1,14 +1,16 @@
 """Token files as wavelet matrices (operator 4).
 
-A shard file holds the ids of consecutive documents as a wavelet matrix: one bit plane for each bit of the (dense) alphabet, with
-counts of ones before each block. Token access, counting and occurrence lookup work on the planes; the file is one
-compressed stream for each part, so one file serves all of them.
+A shard file holds the ids of consecutive documents as a wavelet matrix: one bit plane for each bit of the (dense) alphabet. Planes are cut
+into frames, each compressed by itself, and the file holds how many ones stand before each frame. So token access, counting and
+occurrence lookup by rank and select read only the frames they pass through, and one compressed file serves all of them.
 
-File: magic, header length, header (JSON), then the parts one after another, each compressed with zstandard.
+File: magic, header length, header (JSON: tokens, zeros of each plane, sizes of the parts), then the parts, each compressed with zstandard: alphabet, which
+ids are null, ids, lengths, ones before each frame, sizes of the frames; then the frames, plane by plane.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import re
@@ -28,16 +30,19 @@ from .common import Memo, as_uri, bounded, chunked, fresh_path, mix, open_fs, te
 END = 1
 #: Tokens after which a partition begins another shard file.
 SHARD_TOKENS = 4_000_000
+#: Bytes of a frame before compression; frames that a matrix holds at a time; bits of a block, whose ones are counted when its frame is loaded.
+FRAME_BYTES, HELD_FRAMES = 1 << 15, 256
 _BLOCK = 512
-_MAGIC = b"SKWAVE01"
+_MAGIC = b"SKWAVE02"
 
 
 class WaveletMatrix:
-    """planes: packed bits from the highest to the lowest; zeros: how many zeros each has; n: length."""
+    """n values; zeros: how many each plane has, from the highest; ones[level]: how many stand before each frame, and in all; load(level, frame): a frame's bytes."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray]):
-        self.n, self.zeros, self.planes = n, zeros, planes
-        self.ranks = [self._directory(p) for p in planes]
+    def __init__(self, n: int, zeros: list[int], ones: np.ndarray, load):
+        self.n, self.zeros, self.ones, self.load = n, zeros, ones, load
+        self.held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.loaded = 0
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
@@ -48,27 +53,57 @@ class WaveletMatrix:
             low = np.compress(~bit, a)  # by places, not by branches on random bits
             zeros.append(len(low))
             a = np.concatenate([low, np.compress(bit, a)])
-        return cls(len(values), zeros, planes)
-
-    @staticmethod
-    def _directory(plane: np.ndarray) -> np.ndarray:
-        """Ones before each block of _BLOCK bits, and in all."""
-        ones = np.bitwise_count(np.pad(plane, (0, -len(plane) % (_BLOCK // 8)))).reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64)
-        return np.concatenate([[0], np.cumsum(ones)])
+        frames = -(-len(planes[0]) // FRAME_BYTES)
+        cut = lambda level, f: planes[level][f * FRAME_BYTES : (f + 1) * FRAME_BYTES]
+        counts = np.array([[int(np.bitwise_count(cut(level, f)).sum(dtype=np.int64)) for f in range(frames)] for level in range(bits)], np.int64).reshape(bits, frames)
+        return cls(len(values), zeros, np.pad(np.cumsum(counts, 1), ((0, 0), (1, 0))), cut)
+
+    def _frame(self, level: int, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """A frame as rows of blocks, and the ones before each block of it."""
+        found = self.held.get((level, f))
+        if found is None:
+            self.loaded += 1
+            data = np.frombuffer(self.load(level, f), np.uint8)
+            blocks = np.pad(data, (0, -len(data) % (_BLOCK // 8))).reshape(-1, _BLOCK // 8)
+            found = blocks, np.concatenate([[0], np.cumsum(np.bitwise_count(blocks).sum(1, dtype=np.int64))])
+            while len(self.held) >= HELD_FRAMES:
+                self.held.pop(next(iter(self.held)))
+            self.held[level, f] = found
+        return found
 
     def _rank1(self, level: int, i: int) -> int:
-        block, plane = i // _BLOCK, self.planes[level]
-        part = plane[block * _BLOCK // 8 : (i + 7) // 8]
-        bits = np.unpackbits(part, bitorder="little")[: i - block * _BLOCK]
-        return int(self.ranks[level][block] + bits.sum())
+        """Ones of a plane before place i."""
+        f, j = divmod(i, 8 * FRAME_BYTES)
+        if f >= self.ones.shape[1] - 1 or not j:
+            return int(self.ones[level, f])
+        blocks, before = self._frame(level, f)
+        block, rest = divmod(j, _BLOCK)
+        if not rest:
+            return int(self.ones[level, f] + before[block])
+        row = blocks[block]
+        part = int(np.bitwise_count(row[: rest >> 3]).sum()) + int(row[rest >> 3] & (1 << (rest & 7)) - 1).bit_count()
+        return int(self.ones[level, f] + before[block]) + part
+
+    def _bit(self, level: int, i: int) -> int:
+        f, j = divmod(i, 8 * FRAME_BYTES)
+        block, rest = divmod(j, _BLOCK)
+        return int(self._frame(level, f)[0][block][rest >> 3] >> (rest & 7) & 1)
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Where the k-th (from 0) bit of that value stands."""
-        ones = self.ranks[level]
-        before = ones if bit else np.arange(len(ones)) * _BLOCK - ones
-        block = int(np.searchsorted(before, k, "right")) - 1
-        bits = np.unpackbits(self.planes[level][block * _BLOCK // 8 : (block + 1) * _BLOCK // 8], bitorder="little")
-        return block * _BLOCK + int(np.flatnonzero(bits == bit)[k - before[block]])
+
+        def before(ones, size):
+            return ones if bit else np.arange(len(ones)) * size - ones
+
+        frames = before(self.ones[level], 8 * FRAME_BYTES)
+        f = int(np.searchsorted(frames, k, "right")) - 1
+        f = min(f, len(frames) - 2)
+        blocks, ones = self._frame(level, f)
+        k -= int(frames[f])
+        counts = before(ones, _BLOCK)
+        block = min(int(np.searchsorted(counts, k, "right")) - 1, len(blocks) - 1)
+        bits = np.unpackbits(blocks[block], bitorder="little")
+        return f * 8 * FRAME_BYTES + block * _BLOCK + int(np.flatnonzero(bits == bit)[k - counts[block]])
 
     def access(self, i: int) -> int:
         """The value at place i."""
@@ -76,12 +111,30 @@ class WaveletMatrix:
             raise IndexError(i)
         v = 0
         for level, z in enumerate(self.zeros):
-            bit = int(self.planes[level][i >> 3] >> (i & 7) & 1)
-            one = self._rank1(level, i)
+            bit, one = self._bit(level, i), self._rank1(level, i)
             i = z + one if bit else i - one
             v = v << 1 | bit
         return v
 
+    def access_many(self, places: np.ndarray) -> np.ndarray:
+        """The values at many places, a level and a frame at a time."""
+        at, out = np.array(places, np.int64), np.zeros(len(places), np.int64)
+        for level, z in enumerate(self.zeros):
+            frame, inside = np.divmod(at, 8 * FRAME_BYTES)
+            bit, one = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            for f in np.unique(frame).tolist():
+                who = np.flatnonzero(frame == f)
+                blocks, before = self._frame(level, f)
+                block, rest = np.divmod(inside[who], _BLOCK)
+                byte = rest >> 3
+                head = np.bitwise_count(blocks[block]) * (np.arange(_BLOCK // 8) < byte[:, None])
+                last = blocks[block, byte].astype(np.int64)
+                bit[who] = last >> (rest & 7) & 1
+                one[who] = self.ones[level, f] + before[block] + head.sum(1, dtype=np.int64) + np.bitwise_count(last & (1 << (rest & 7)) - 1)
+            at = np.where(bit == 1, z + one, at - one)
+            out = out << 1 | bit
+        return out
+
     def _range(self, value: int, lo: int, hi: int) -> tuple[int, int]:
         for level, z in enumerate(self.zeros):
             a, b = self._rank1(level, lo), self._rank1(level, hi)
@@ -109,7 +162,9 @@ class WaveletMatrix:
         """All values, from the lowest plane up."""
         kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
         out = np.zeros(self.n, kind)
-        for k, (z, plane) in enumerate(zip(reversed(self.zeros), reversed(self.planes))):
+        for k, z in enumerate(reversed(self.zeros)):
+            level = len(self.zeros) - 1 - k
+            plane = np.concatenate([np.frombuffer(self.load(level, f), np.uint8) for f in range(self.ones.shape[1] - 1)] or [np.empty(0, np.uint8)])
             bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
             above[np.flatnonzero(~bit)] = out[:z]
@@ -126,32 +181,52 @@ def shard_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
     alphabet = np.flatnonzero(present).astype("<u4")
     dense = (np.cumsum(present) - 1).astype(np.uint16 if len(alphabet) <= 65536 else np.uint32)
     matrix = WaveletMatrix.build(dense[ids], max(1, int(len(alphabet) - 1).bit_length()))
-    parts = [alphabet, np.array([d is None for d in doc_ids], "u1"), np.array([d or 0 for d in doc_ids], "<i8"), np.array(lengths, "<i8"), *matrix.planes]
     press = zstandard.ZstdCompressor(level=1)
+    frames = [press.compress(np.ascontiguousarray(matrix.load(level, f)).tobytes()) for level in range(len(matrix.zeros)) for f in range(matrix.ones.shape[1] - 1)]
+    parts = [alphabet, np.array([d is None for d in doc_ids], "u1"), np.array([d or 0 for d in doc_ids], "<i8"), np.array(lengths, "<i8"), matrix.ones.astype("<i8"), np.array([len(x) for x in frames], "<u4")]
     packed = [press.compress(p.tobytes()) for p in parts]
     head = json.dumps({"n": len(ids), "zeros": matrix.zeros, "sizes": [len(p) for p in packed]}).encode()
-    return _MAGIC + struct.pack("<I", len(head)) + head + b"".join(packed)
+    return _MAGIC + struct.pack("<I", len(head)) + head + b"".join(packed) + b"".join(frames)
 
 
 class Shard:
-    """A shard file opened from its bytes: documents and their tokens, by rank and select on the planes."""
+    """A shard file: documents and their tokens, by rank and select on the planes. file: bytes, or seekable and read by ranges."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, file):
         import zstandard
 
-        if data[:8] != _MAGIC:
+        self.file, self.press = io.BytesIO(file) if isinstance(file, bytes) else file, zstandard.ZstdDecompressor()
+        magic = self._read(0, 12)
+        if magic[:8] != _MAGIC:
             raise ValueError("not a shard file")
-        (size,) = struct.unpack_from("<I", data, 8)
-        head = json.loads(data[12 : 12 + size])
-        at, parts, press = 12 + size, [], zstandard.ZstdDecompressor()
-        for n in head["sizes"]:
-            parts.append(press.decompress(data[at : at + n]) if n else b"")
-            at += n
-        self.alphabet = np.frombuffer(parts[0], "<u4")
-        missing = np.frombuffer(parts[1], "u1")
-        self.doc_ids = [None if m else int(d) for m, d in zip(missing, np.frombuffer(parts[2], "<i8"))]
-        self.lengths = np.frombuffer(parts[3], "<i8")
-        self.matrix = WaveletMatrix(head["n"], head["zeros"], [np.frombuffer(p, np.uint8) for p in parts[4:]])
+        (size,) = struct.unpack_from("<I", magic, 8)
+        head = json.loads(self._read(12, size))
+        self.places = list(zip(np.cumsum([12 + size, *head["sizes"]]).tolist(), head["sizes"]))
+        self.alphabet, ones, sizes = self._part(0, "<u4"), self._part(4, "<i8").reshape(len(head["zeros"]), -1), self._part(5, "<u4").astype(np.int64)
+        begin = sum(self.places[-1]) + np.cumsum(sizes) - sizes
+        frames = ones.shape[1] - 1
+
+        def load(level: int, f: int) -> bytes:
+            k = level * frames + f
+            return self.press.decompress(self._read(int(begin[k]), int(sizes[k])))
+
+        self.matrix = WaveletMatrix(head["n"], head["zeros"], ones, load)
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def _part(self, k: int, kind: str) -> np.ndarray:
+        at, n = self.places[k]
+        return np.frombuffer(self.press.decompress(self._read(at, n)), kind)
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        return [None if m else int(d) for m, d in zip(self._part(1, "u1"), self._part(2, "<i8"))]
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self._part(3, "<i8")
 
     def _dense(self, token: int) -> int | None:
         at = int(np.searchsorted(self.alphabet, token))
@@ -160,6 +235,9 @@ class Shard:
     def token(self, i: int) -> int:
         return int(self.alphabet[self.matrix.access(i)])
 
+    def tokens_at(self, places: np.ndarray) -> np.ndarray:
+        return self.alphabet[self.matrix.access_many(places)]
+
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         v = self._dense(token)
         return 0 if v is None else self.matrix.count(v, lo, hi)
@@ -321,10 +399,11 @@ def _writer(folder: str, tokenizer_path: str):
 def write_shards(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write docs (doc_id, text, ...) as shard files in the shared folder, in ascending doc_id order (null first, ties by text).
 
-    Returns the manifest, a written table: path, start (ids in all files before it), n_tokens, n_docs. A file that a lost or repeated
+    Null and empty texts are documents of the end id alone; very long ones may make a file larger than others; repeated rows repeat. No
+    rows write no files. Other columns are not read. Returns the manifest, a written table: path, start (ids in all files before it), n_tokens, n_docs. A file that a lost or repeated
     task left is not in it."""
     spark = docs.sparkSession
-    folder = as_uri(fresh_path(spark, "shards"))
+    folder = as_uri(spark, fresh_path(spark, "shards"))
     fs, base = open_fs(folder)
     fs.create_dir(base, recursive=True)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -343,15 +422,19 @@ def _reader(batches):
     for batch in batches:
         for folder, path, start in zip(*(batch.column(k).to_pylist() for k in range(3))):
             with open_fs(folder)[0].open_input_file(path) as f:
-                shard = Shard(f.read())
-            ids = shard.tokens()
-            ends = np.cumsum(shard.lengths)
-            begins = ends - shard.lengths
+                shard = Shard(f)
+                ids, doc_ids, lengths = shard.tokens(), shard.doc_ids, shard.lengths
+                ends = np.cumsum(lengths)
+                begins = ends - lengths
+                # The same file by rank: every document ends with the end id where its length says so.
+                for lo in range(0, len(ends), 1 << 14):
+                    if (shard.tokens_at(ends[lo : lo + (1 << 14)] - 1) != END).any():
+                        raise ValueError(f"{path}: a document does not end where it should")
             crc = [zlib.crc32(ids[b:e].tobytes()) for b, e in zip(begins, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(begins + start), pa.array(shard.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begins + start), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """One row a document from the files: doc_id, start, n_tokens (with the end id), ids_crc32."""
+    """One row a document from the files: doc_id, start, n_tokens (with the end id), ids_crc32. An empty manifest gives none."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("folder", "path", "start").repartition(n, "path").mapInArrow(trimmed(_reader), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
