@@ -23,7 +23,7 @@ from .common import bounded, chunked, mix, trimmed
 
 WIDTH = 24
 #: One hash in 2**FRACTION_LOG2 is kept.
-FRACTION_LOG2 = 4
+FRACTION_LOG2 = 3
 _STEP = 1 << 20
 
 
@@ -178,5 +178,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null text counts as empty. The next document is the next in ascending doc_id (null ids first; equal ids by text); after the last comes the
-    first, so a single row is its own next. Repeated rows follow each other. No rows give none."""
+    first, so a single row is its own next. Very long texts are read whole. Repeated rows follow each other, and all rows of one id, or of
+    null ids, are in one part, as their order asks for. No rows give none; other columns are not read."""
     return with_next(bounded(docs).select("doc_id", "text")).mapInArrow(trimmed(_fingerprinted), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
