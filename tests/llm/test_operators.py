@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -97,6 +98,34 @@ def test_wavelet_access_count_locate():
     assert wavelet.Shard(wavelet.shard_bytes(np.empty(0, "<u4"), [], [])).tokens().tolist() == []
 
 
+def test_wavelet_reads_frames(monkeypatch):
+    """Frames of 64 bytes: access, ranges, occurrences, many places at once; few frames are read and few are held."""
+    monkeypatch.setattr(wavelet, "FRAME_BYTES", 64)
+    monkeypatch.setattr(wavelet, "HELD_FRAMES", 5)
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([rng.integers(0, 40, 7000), np.full(3000, 7), np.arange(30)]).astype("<u4")
+    data = wavelet.shard_bytes(ids, [5], [len(ids)])
+    assert (wavelet.Shard(data).tokens() == ids).all()
+    s = wavelet.Shard(data)
+    places = rng.integers(0, len(ids), 500)
+    assert s.tokens_at(places).tolist() == ids[places].tolist() and len(s.matrix.held) <= 5
+    for i in (0, 511, 512, 513, 5120, len(ids) - 1):
+        s = wavelet.Shard(data)
+        assert s.token(i) == ids[i] and s.matrix.loaded <= len(s.matrix.zeros)
+    for v in (0, 7, 39):
+        at = np.flatnonzero(ids == v)
+        for lo, hi in ((0, 512), (511, 5121), (0, len(ids))):
+            assert s.count(v, lo, hi) == ((at >= lo) & (at < hi)).sum()
+        assert [s.occurrence(v, k) for k in range(0, len(at), 37)] == at[::37].tolist()
+
+
+def test_pages_of_shards_are_checked(spark):
+    folder = wavelet.write_shards(docs_of(spark, ["some words", None, ""]), WORD_BPE)
+    assert wavelet.read_shards(folder.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        wavelet.Shard(b"no shard file, but long enough")
+
+
 def brute_components(rows):
     def shingles(t):
         w = (t or "").encode().lower().split()
@@ -223,6 +252,41 @@ def test_sketch_containment_and_merge():
     assert len(np.setdiff1d(scaled_sketch.merge(a, b), whole)) <= 4
 
 
+def test_sketch_error():
+    """Measured error of the estimated containment on edited texts, by length; a mean error of what the fraction of kept hashes allows."""
+    rng = random.Random(12)
+    errors = {}
+    for n in (30, 300, 3000):
+        texts = [prose(rng, n).encode() for _ in range(60)]
+        edited = [t[: len(t) * 3 // 4] + x[: len(x) // 4] for t, x in zip(texts, texts[1:] + texts[:1])]
+        grams = lambda t: {t[i : i + scaled_sketch.WIDTH] for i in range(len(t) - scaled_sketch.WIDTH + 1)}
+        wrong = []
+        for t, e, x, y in zip(texts, edited, scaled_sketch.sketches(texts), scaled_sketch.sketches(edited)):
+            a, b = sorted((grams(t), grams(e)), key=len)
+            said = scaled_sketch.likeness(scaled_sketch.unpack(scaled_sketch.pack(t, x)), scaled_sketch.unpack(scaled_sketch.pack(e, y)))
+            wrong.append(abs(said - len(a & b) / len(a)))
+        errors[n] = float(np.mean(wrong))
+    assert errors[30] < 0.1 and errors[300] < 0.04 and errors[3000] < 0.015, errors
+
+
+def test_vector_packing():
+    """Against a plain loop; bytes, tokens and rows come out near even together."""
+    rng = np.random.default_rng(5)
+    v = np.column_stack([rng.lognormal(6, 1, 900), rng.lognormal(4, 1, 900), rng.integers(1, 9, 900)])
+    order = np.argsort(-(v / v.sum(0)).max(1), kind="stable")
+    got = binpack.place(v, order, 6)
+    left = [[1.0] * 3 for _ in range(6)]
+    share = [v[:, k].sum() / 6 for k in range(3)]
+    for i in order:
+        u = [v[i, k] / share[k] for k in range(3)]
+        open_ = [s for s in range(6) if all(a >= b for a, b in zip(left[s], u))] or [s for s in range(6) if left[s][0] >= u[0]]
+        best = max(open_, key=lambda s: (sum(a * b for a, b in zip(left[s], u)), -s)) if open_ else max(range(6), key=lambda s: (left[s][0], -s))
+        assert got[i] == best
+        left[best] = [a - b for a, b in zip(left[best], u)]
+    sums = np.array([v[got == s].sum(0) for s in range(6)]) / share
+    assert abs(sums - 1).max() < 0.01
+
+
 def test_shards(spark, odd):
     rng = random.Random(6)
     texts = [prose(rng, rng.randint(1, 60)) for _ in range(400)] + ["hot copy of a text"] * 300 + [None, "", None]
@@ -400,9 +464,76 @@ def test_language_and_toxicity(spark, odd):
 
 
 def test_codewords():
-    for n in range(1, 20):
+    for n in (*range(1, 20), 60):
         code = lang_ecoc.codewords(n)
         assert len({tuple(x) for x in code.tolist()}) == n
+        if n > 6:
+            apart = [(x != y).sum() for i, x in enumerate(code) for y in code[:i]]
+            assert min(apart) >= code.shape[1] // 4
+
+
+def test_codes_against_plain_loops():
+    """Margins and loss-weighted decoding, n-gram by n-gram and bit by bit; long texts in segments, several in a chunk."""
+    rng = random.Random(13)
+    tongues = {"aa": "ba bo bi lo la".split(), "bb": "sch tz ung ich".split(), "cc": "eau oux ien que".split()}
+    say = lambda k, n: " ".join("".join(rng.choices(tongues[k], k=3)) for _ in range(n)).encode()
+    model = lang_ecoc.Model(sorted(tongues), [lang_ecoc.gram_counts([say(k, 200) for _ in range(20)]) for k in sorted(tongues)])
+    texts = [say("aa", 3), say("bb", 30), b"", "Éa ü".encode(), say("aa", 20) + say("cc", 20), b"x", None, say("cc", 90_000)]
+    assert len(texts[-1]) > 2 * lang_ecoc._SEGMENT
+    margins, (lang, score, close, loss) = model.margins(texts), model.predict(texts)
+    for i, t in enumerate(texts):
+        s = b"  " + (t or b"").translate(lang_ecoc._FOLD) + b"  "
+        total, n = np.zeros(model.code.shape[1]), 0
+        for j in range(len(s) - 2):
+            if s[j : j + 2] != b"  ":
+                two = s[j] | s[j + 1] << 8
+                three = (two * 0x9E3779B1 + s[j + 2] * 0x85EBCA6B) % 2**32 >> 16
+                total += model.weights[0][two].astype(float) + model.weights[1][three]
+                n += 1
+        want = total / max(n, 1) / 2
+        assert np.allclose(margins[i], want, atol=2e-3)
+        losses = [sum(w * np.log1p(np.exp(-c * m * model.scale)) for w, c, m in zip(model.bit_weights, code, margins[i])) for code in model.code]
+        best = int(np.argmin(losses))
+        shares = np.exp(-4 * (np.array(losses) - losses[best]))
+        assert near(loss[i], losses[best], 1e-6)
+        if lang_ecoc.has_letter(t):
+            assert lang[i] == model.langs[best] and near(score[i], 1 / shares.sum(), 1e-5)
+        else:
+            assert (lang[i], score[i], close[i]) == ("und", 0, True)
+
+
+def test_identified(spark):
+    """Learned languages stay, noise, foreign scripts and texts without letters go."""
+    docs, _ = labelled(spark)
+    model = lang_ecoc.fit(docs)
+    rng = random.Random(14)
+    noise = ["".join(rng.choices("wxyvjk qz", k=400)), "日本語の文章です。" * 9, "12 + 3", None, ""]
+    kept = lang_ecoc.identified(docs.union(docs_of(spark, noise, range(1000, 1005))), model)
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == docs.columns and not ids & set(range(1000, 1005)) and len(ids) > 0.99 * 600
+
+
+def test_label_model():
+    """Planted accuracies and copies: rates and correlations are found, and posteriors beat the annotator and the voters taken as independent."""
+    rng = np.random.default_rng(6)
+    n = 6000
+    y = rng.random(n) < 0.2
+    rates = [(0.7, 0.05), (0.6, 0.03), (0.65, 0.08), (0.5, 0.02), (0.55, 0.06)]
+    fires = [np.where(y, rng.random(n) < a, rng.random(n) < b) for a, b in rates]
+    noisy = np.where(y, rng.random(n) < 0.5, rng.random(n) < 0.25)  # a poor voter and its near copies
+    copies = [np.where(rng.random(n) < 0.05, rng.random(n) < 0.3, noisy) for _ in range(5)]
+    annotator = np.where(y, rng.random(n) < 0.85, rng.random(n) < 0.06)
+    v = np.where(np.stack([*fires, *copies, annotator], 1), 1, -1)
+    v[rng.random(v.shape) < 0.1] = 0  # abstentions
+    q, one, zero, correlations, prior = weak_toxicity.label_model(v)
+    assert near(prior, 0.2, 0.04)
+    for k, (a, b) in [*enumerate(rates), (10, (0.85, 0.06))]:
+        assert near(one[k], a, 0.08) and near(zero[k], b, 0.03)
+    assert correlations[5:10, 5:10].min() > 0.75 and max(correlations[i, j] for i in range(5) for j in range(11) if i != j) < 0.15
+    right = ((q > 0.5) == y).mean()
+    odds = np.log(0.25) + np.where(v > 0, np.log(one / zero), np.where(v < 0, np.log((1 - one) / (1 - zero)), 0)).sum(1)
+    assert right > (annotator == y).mean() + 0.02 and right > ((odds > 0) == y).mean() and right > 0.95
+    assert ((q > 0.5) != annotator).mean() > 0.05  # not the raw labels
 
 
 def test_empty_tables(spark):
@@ -425,6 +556,25 @@ def test_null_ids(spark):
     assert wavelet.read_shards(wavelet.write_shards(docs, WORD_BPE)).where("doc_id is null").count() == 2
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Every stage on nulls, empty and long texts, ties, repeated rows and clashing extra columns, and on no rows."""
+    docs, labels = labelled(spark)
+    rows = docs.limit(200).union(docs_of(spark, odd_texts(), range(700, 700 + len(odd_texts())))).union(docs_of(spark, [None, "", "few words"], [None, None, None]))
+    rows = rows.union(rows.where("doc_id in (3, 708)"))
+    for c in ("cid", "key", "shingles", "part", "gid", "i", "k", "items", "least_edits", "toxic", "_id"):
+        rows = rows.withColumn(c, F.lit("mine"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench = spark.createDataFrame([(1, docs.where("doc_id = 9").first()["text"], "mine"), (None, None, None), (2, "", "")], "item_id bigint, text string, doc_id string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, str(tmp_path))
+        assert out.columns == rows.columns, name
+        assert out.exceptAll(rows).count() == 0 and out.where("key = 'mine'").count() == out.count() > 50, name
+        assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path))
+    assert last.count() == rows.count() and corpus_pipeline.STAGES[-1][1](spark, rows.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import os
 
