@@ -12,11 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import mmap
 import os
 import re
 import struct
-import tempfile
 from array import array
 from collections import Counter
 
@@ -25,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded, chunked, text_column, trimmed, written
+from .common import as_uri, bounded, chunked, fresh_path, Memo, open_fs, text_column, trimmed, written
 
 #: Pieces in the lexicon, and bytes of the longest one.
 LEXICON, LONGEST = 65536, 32
@@ -102,12 +100,16 @@ class Transducer:
         self.keys, self.targets, self.skips, self.final, self.starts, self.ids = arrays
 
     @classmethod
-    def mapped(cls, data: bytes) -> Transducer:
-        """Through a memory-mapped file, so a worker's resident memory holds only the pages it uses."""
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    def opened(cls, uri: str) -> Transducer:
+        """From a file of the shared folder: memory-mapped where that is a mounted file system, so that the workers of a machine share the
+        pages they use; else read."""
+        from pyarrow import fs
+
+        system, path = open_fs(uri)
+        if isinstance(system, fs.LocalFileSystem):
+            return cls(pa.memory_map(path).read_buffer())
+        with system.open_input_file(path) as f:
+            return cls(f.read_buffer())
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 if it is not in the lexicon."""
@@ -242,15 +244,26 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON) ->
     return compile_lexicon(words, [tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words])
 
 
+def lexicon_file(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None) -> str:
+    """The lexicon (that of docs, unless given), written once as a file of the shared folder."""
+    data = build_lexicon(docs, tokenizer_path) if lexicon is None else lexicon
+    folder = as_uri(docs.sparkSession, fresh_path(docs.sparkSession, "lexicon"))
+    system, path = open_fs(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/words.fsa") as f:
+        f.write(data)
+    return f"{folder}/words.fsa"
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = None) -> DataFrame:
     """docs (doc_id, text, ...): doc_id, n_tokens, ids_sha256 (over little-endian unsigned 32-bit integers), decoded_sha256.
 
-    Null and empty texts have no ids. Repeated rows repeat. An empty table gives an empty result. Nothing but
-    the digests leaves a worker."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, tokenizer_path) if lexicon is None else lexicon)
+    Null and empty texts have no ids; very long ones are encoded whole. Ties do not arise: equal pieces have equal ids. Repeated rows
+    repeat, ids may be null. An empty table gives an empty result. Other columns are not read. Nothing but the digests leaves a worker."""
+    uri = lexicon_file(docs, tokenizer_path, lexicon)
 
     def rows(batches):
-        codec = Codec(Transducer.mapped(shared.value), tokenizer_path)
+        codec = Codec(Transducer.opened(uri), tokenizer_path)
         for batch in batches:
             n, ids_sha, decoded_sha = [], [], []
             for ids in codec.encode(text_column(batch, "text")):
@@ -264,10 +277,10 @@ def encoded(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = None)
 
 def token_ids(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = None) -> DataFrame:
     """docs (doc_id, text, ...): doc_id, ids as an array. The same treatment of nulls and repeats as `encoded`."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, tokenizer_path) if lexicon is None else lexicon)
+    uri = lexicon_file(docs, tokenizer_path, lexicon)
 
     def rows(batches):
-        codec = Codec(Transducer.mapped(shared.value), tokenizer_path)
+        codec = Codec(Transducer.opened(uri), tokenizer_path)
         for batch in batches:
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in codec.encode(text_column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])

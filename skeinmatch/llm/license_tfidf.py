@@ -239,7 +239,8 @@ def licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFra
 
     A file with a licence of its own keeps it. Else it takes that of the licence file in the nearest directory above; of several in one
     directory the smallest id that states a licence. Null or empty text states none; a null path inherits none; equal ids share what any of them states.
-    Directories are few beside files, so only they meet their ancestors."""
+    Licences whose cosines tie go by their names. Very long texts are read whole. Repeated rows repeat, no rows give none, other columns
+    are not read; a null is_license_file is no. Directories are few beside files, so only they meet their ancestors."""
     own = own_licenses(files.select("id", "text"), templates)
     named = files.select("id", "path", "is_license_file").join(own, "id", "left").withColumn("dir", F.regexp_replace("path", r"(^|/)[^/]*$", ""))
     stated = named.where("is_license_file and license is not null and path is not null").groupBy(F.col("dir").alias("above")).agg(F.min_by("license", "id").alias("given"))

@@ -44,13 +44,13 @@ def op5_zip_warc(spark, sf_dir):
 
 
 def op6_license_scan(spark, sf_dir):
-    """Documents as files of a tree: source/thousand/hundred/id.txt, but by a hash of the id a tenth lie in each of the two
-    directories above. A file that states a licence is a licence file of its directory, the smallest id first."""
+    """Documents as files of a tree: source/thousand/hundred/id.txt, but by a hash of the id a tenth are named LICENSE-id.txt in each
+    of the two directories above. These are licence files and speak for their directory, the smallest id first; what others state is their own header."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     level = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     thousand, hundred = (F.floor(F.col("doc_id") / k).cast("string") for k in (1000, 100))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.when(level > 0, thousand), F.when(level > 1, hundred), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    files = docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text", F.lit(True).alias("is_license_file"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.when(level > 0, thousand), F.when(level > 1, hundred), F.concat(F.when(level > 1, "").otherwise("LICENSE-"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text", (level <= 1).alias("is_license_file"))
     return license_tfidf.licenses(files).withColumnRenamed("id", "doc_id")
 
 
@@ -86,7 +86,7 @@ def license_sql() -> str:
                 lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295::BIGINT), 4294967295::BIGINT) % 10 AS level
             FROM documents),
         files AS (
-            SELECT doc_id, text, concat_ws('/', coalesce(source, 'unknown'), CASE WHEN level > 0 THEN doc_id // 1000 END, CASE WHEN level > 1 THEN doc_id // 100 END, doc_id || '.txt') AS path FROM crc),
+            SELECT doc_id, text, concat_ws('/', coalesce(source, 'unknown'), CASE WHEN level > 0 THEN doc_id // 1000 END, CASE WHEN level > 1 THEN doc_id // 100 END, CASE WHEN level > 1 THEN '' ELSE 'LICENSE-' END || doc_id || '.txt') AS path, level <= 1 AS is_license_file FROM crc),
         sentences AS (
             SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '([.!?])[ 	
 
@@ -98,8 +98,8 @@ def license_sql() -> str:
         dots AS (SELECT doc_id, place, license, sum(w * weight) AS dot FROM tf JOIN weights USING (term) GROUP BY ALL),
         scored AS (SELECT doc_id, license, max(round(dot / norm, 6)) AS cosine FROM dots JOIN norms USING (doc_id, place) GROUP BY ALL HAVING max(round(dot / norm, 6)) >= {license_tfidf.THRESHOLD}),
         own AS (SELECT doc_id, license, cosine FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
-        named AS (SELECT f.doc_id, path, license, cosine, regexp_replace(path, '(^|/)[^/]*$', '') AS dir FROM files f LEFT JOIN own USING (doc_id)),
-        stated AS (SELECT dir AS above, min_by(license, doc_id) AS given FROM named WHERE license IS NOT NULL GROUP BY 1),
+        named AS (SELECT f.doc_id, path, is_license_file, license, cosine, regexp_replace(path, '(^|/)[^/]*$', '') AS dir FROM files f LEFT JOIN own USING (doc_id)),
+        stated AS (SELECT dir AS above, min_by(license, doc_id) AS given FROM named WHERE license IS NOT NULL AND is_license_file GROUP BY 1),
         dirs AS (SELECT DISTINCT dir, string_split(dir, '/') AS parts FROM named),
         over AS (SELECT dir, depth, array_to_string(parts[1:depth], '/') AS above FROM (SELECT dir, parts, unnest(range(0, len(parts) + 1)) AS depth FROM dirs)),
         near AS (SELECT dir, above, given FROM over JOIN stated USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY depth DESC) = 1)

@@ -67,7 +67,7 @@ def test_encoders_on_mixed_alphabets():
     byte, word = Tokenizer.from_file(BYTE_BPE), Tokenizer.from_file(WORD_BPE)
     frequent = sorted({p for t in texts[:500] for p in bpe_transducer.pieces(t.encode()) if len(p) <= bpe_transducer.LONGEST})
     lexicon = bpe_transducer.compile_lexicon(frequent, [byte.encode(p.decode(), add_special_tokens=False).ids for p in frequent])
-    codec, encoder = bpe_transducer.Codec(bpe_transducer.Transducer.mapped(lexicon), BYTE_BPE), wavelet.WordEncoder(WORD_BPE)
+    codec, encoder = bpe_transducer.Codec(bpe_transducer.Transducer(lexicon), BYTE_BPE), wavelet.WordEncoder(WORD_BPE)
     for t, x, y in zip(texts, codec.encode([t.encode() for t in texts]), encoder.encode([t.encode() for t in texts])):
         ids = np.frombuffer(x, "<u4").tolist()
         assert ids == byte.encode(t, add_special_tokens=False).ids and codec.decode(x).decode() == byte.decode(ids, skip_special_tokens=False)
@@ -76,10 +76,10 @@ def test_encoders_on_mixed_alphabets():
 
 def test_transducer_is_minimal_and_exact():
     words = sorted({b"walk", b"walks", b"walked", b"talk", b"talks", b"talked", b""})
-    t = bpe_transducer.Transducer.mapped(bpe_transducer.compile_lexicon(words, [[i, i] for i in range(len(words))]))
+    t = bpe_transducer.Transducer(bpe_transducer.compile_lexicon(words, [[i, i] for i in range(len(words))]))
     assert t.ranks(words).tolist() == list(range(len(words))) and t.ranks([b"wal", b"walkss", b"z", b"a" * 99]).tolist() == [-1] * 4
     assert t.root + 1 == 7  # walk and talk share all that follows the first letter
-    empty = bpe_transducer.Transducer.mapped(bpe_transducer.compile_lexicon([], []))
+    empty = bpe_transducer.Transducer(bpe_transducer.compile_lexicon([], []))
     assert empty.ranks([b"a", b""]).tolist() == [-1, -1]
 
 
