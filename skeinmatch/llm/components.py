@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -23,7 +23,10 @@ def components(links: DataFrame, vertices: DataFrame) -> DataFrame:
         least = labels.join(near, "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         hop = labels.select(F.col("v").alias("at"), F.col("l").alias("via"))
         stepped = least.join(hop, F.col("l.at") == F.col("at")).select("v", "old", F.least("l", "via").alias("l"))
-        stepped = written(stepped, "labels")
+        before, stepped = labels, written(stepped, "labels")
+        discard(before)
         labels = stepped.select("v", "l")
+        labels.written_at = stepped.written_at
         if stepped.where("old != l").isEmpty():
+            discard(both)
             return labels.select("v", F.col("l.at").alias("root"), F.col("l.rank").alias("component"))

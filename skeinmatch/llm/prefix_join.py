@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, mix, text_column, trimmed, written
+from .common import bounded, discard, mix, text_column, trimmed, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -308,7 +308,9 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = written(texts.mapInArrow(trimmed(_sets), "cid binary, shingles binary").join(ends.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
     first = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     full = first.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-    return written(full.mapInArrow(trimmed(_verified), "a binary, b binary"), "verified")
+    links = written(full.mapInArrow(trimmed(_verified), "a binary, b binary"), "verified")
+    discard(pairs, ends, sets)
+    return links
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -417,8 +419,10 @@ def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
     across = meeting
     for side in ("a", "b"):
         across = across.join(centres.select(F.col("gid").alias(side), F.col("centre").alias(f"{side}c")), side)
+    used = [found, centres, meeting]
     tried = written(_ordered(across.select(F.col("ac").alias("a"), F.col("bc").alias("b")).union(own)), "pairs")
     links = _links(tried, classes, docs)
+    used += [tried, links]
     found_in = components(links, classes.select(F.col("cid").alias("v"), F.col("rep").alias("rank")))
     named = classes.join(found_in.withColumnRenamed("v", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("part"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
 
@@ -431,6 +435,7 @@ def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
     probes = None
     for most in ROUNDS:
         named = written(named, "named")
+        used.append(named)
         member = classes.join(named, "cid").select("cid", "gid", "n", "words", "part")
         if probes is None:
             lists = written(_open_lists(lists, member), "lists")
@@ -440,6 +445,7 @@ def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
         more = written(_ordered(near).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(more)
         probes = written(near.where("more").select("token", F.col("a").alias("cid")).distinct(), "probes")
+        used += [lists, near, more, probes]
         last = probes.isEmpty()
         further = more if more.isEmpty() else _links(more, classes, docs)
         if further.isEmpty():
@@ -454,8 +460,11 @@ def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
         merged = components(bridges.select(F.col("ap").alias("a"), F.col("bp").alias("b")).where("a != b").distinct(), ranks)
         merged = merged.select(F.col("v").alias("part"), "root", F.col("component").alias("least"))
         named = named.join(merged, "part", "left").select("cid", F.coalesce("root", "part").alias("part"), F.when(F.col("root").isNull(), F.col("component")).otherwise(F.col("least")).alias("component"))
+        used.append(further)
         if last:
             break
+    named = written(named, "components")
+    discard(classes, *used)
     return rows.select("doc_id", "n", "cid", *kept), named
 
 
