@@ -37,16 +37,20 @@ CELLS_LOG2 = 22
 ALL_PAIRS = 6
 #: Centres of a longer list.
 CENTRES = 2
-#: Most ids that are broadcast to pick the texts to verify; more are joined by a shuffle.
+#: Most rows of a slim table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Least and most cells of the short parity table by which members of a kept list are compared; a set's own has its size or up to twice that.
 SHORT_CELLS = 64, 4096
 #: Entries of one shingle that meet in one piece.
 PIECE = 1 << 20
+#: Entries that one task brings together, about.
+BUCKET = 400_000
 #: Members of a kept list in one chunk.
 CHUNK = 1 << 14
 #: How many nearest members a member names for each chunk, round by round; None: all that the bounds let through.
 ROUNDS = (2, 32, None)
+#: Rows that a task takes at least, of pairs to filter, of pairs to verify, of lists' entries: small steps go in few tasks.
+FILTERED, VERIFIED, LISTED = 2000, 500, 5000
 _SLICES = 64
 
 
@@ -183,12 +187,12 @@ def _packed(buckets: int, shared):
     def rows(batches):
         held, size = {}, 0
         for batch in batches:
-            for g, n, p in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if g in held:
+            for g, n, p in zip(*(batch.column(k).to_pylist() for k in ("gid", "n", "prefix"))):
+                if not n or g in held:
                     continue
                 held[g] = (n, np.frombuffer(p, np.uint64))
                 size += len(p) // 8
-                if len(held) == 65535 or size > 800_000:
+                if len(held) == 65535 or size > BUCKET:
                     yield flush(held)
                     held, size = {}, 0
         if held:
@@ -294,22 +298,39 @@ def _verified(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most BROADCAST_IDS rows (of some 50 bytes); else it is shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _tasked(df: DataFrame, rows: int, least: int) -> DataFrame:
+    """df in no more tasks than one for each `least` rows."""
+    tasks = max(1, -(-rows // least))
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of set digests, those at similarity 3/4 or more, by their whole sets.
 
     The texts are found by the smallest id of their class, null ids as one id; sets that are not asked for go by their digest."""
-    first = pairs.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), "a")
-    full = first.join(classes.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), "b")
-    pairs = written(full.select("a", "b", "n1", "n2", "x", "y").mapInArrow(trimmed(_near_enough), "a binary, b binary"), "near")
-    ends = written(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "rep"), "ends")
-    ids = ends.select(F.col("rep").alias("id")).distinct()
-    held = F.broadcast(ids) if ends.count() <= BROADCAST_IDS else ids
-    texts = docs.join(held, docs.doc_id.eqNullSafe(F.col("id")), "left_semi").select("text")
-    sets = written(texts.mapInArrow(trimmed(_sets), "cid binary, shingles binary").join(ends.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-    first = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-    full = first.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-    links = written(full.mapInArrow(trimmed(_verified), "a binary, b binary"), "verified")
-    discard(pairs, ends, sets)
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "asked")
+    few = ids.count() <= BROADCAST_IDS
+    asked = written(classes.join(F.broadcast(ids) if few else ids, "cid", "left_semi").select("cid", "n", "bits", "rep"), "asked")
+    first = pairs.join(asked.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), "a")
+    full = first.join(asked.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), "b")
+    near = written(_tasked(full.select("a", "b", "n1", "n2", "x", "y"), pairs.count(), FILTERED).mapInArrow(trimmed(_near_enough), "a binary, b binary"), "near")
+    if near.isEmpty():
+        discard(ids, asked)
+        return near
+    ends = written(asked.join(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "rep"), "ends")
+    reps = ends.select(F.col("rep").alias("id")).distinct()
+    texts = docs.join(F.broadcast(reps) if few else reps, docs.doc_id.eqNullSafe(F.col("id")), "left_semi").select("text")
+    # Both joins read the one shuffle that tells the sets apart.
+    sets = texts.mapInArrow(trimmed(_sets), "cid binary, shingles binary").join(F.broadcast(ends.select("cid")) if few else ends.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    first = near.join(sets.withColumnsRenamed({"cid": "b", "shingles": "y"}), "b")
+    full = first.join(sets.withColumnsRenamed({"cid": "a", "shingles": "x"}), "a").select("a", "b", "x", "y")
+    links = written(_tasked(full, near.count(), VERIFIED).mapInArrow(trimmed(_verified), "a binary, b binary"), "verified")
+    discard(ids, asked, near, ends)
     return links
 
 
@@ -376,11 +397,11 @@ def _nearest(most: int | None):
     return rows
 
 
-def _open_lists(entries: DataFrame, member: DataFrame) -> DataFrame:
+def _open_lists(entries: DataFrame, named: DataFrame) -> DataFrame:
     """The entries (token, gid, place) of lists that hold several components, with how many chunks their list takes and its largest component."""
-    sizes = entries.join(member.select("gid", "part"), "gid").groupBy("token", "part").agg(F.count("*").alias("size"))
+    sizes = entries.join(named.select("gid", "part"), "gid").groupBy("token", "part").agg(F.count("*").alias("size"))
     lists = sizes.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("largest"), F.ceil(F.sum("size") / CHUNK).alias("chunks"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    return entries.select("token", "gid", "place").join(lists, "token")
+    return entries.select("token", "gid", "place").join(_small(written(lists, "open")), "token")
 
 
 def _candidates(lists: DataFrame, member: DataFrame, probes: DataFrame | None, most: int | None) -> DataFrame:
@@ -395,7 +416,16 @@ def _candidates(lists: DataFrame, member: DataFrame, probes: DataFrame | None, m
     meets = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("probe")))).otherwise(F.array().cast("array<struct<chunk:bigint,probe:boolean>>"))
     dealt = rows.select("token", F.explode(F.concat(home, meets)).alias("to"), "cid", "n", "place", "part", "words").select("token", "to.chunk", "to.probe", "cid", "n", "place", "part", "words")
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "token", "chunk").sortWithinPartitions("token", "chunk", "probe").mapInArrow(trimmed(_nearest(most)), "token bigint, a binary, b binary, more boolean")
+    ordered = dealt.repartition(n, "token", "chunk").sortWithinPartitions("token", "chunk", "probe")
+    return _tasked(ordered, lists.count(), LISTED).mapInArrow(trimmed(_nearest(most)), "token bigint, a binary, b binary, more boolean")
+
+
+def _moved(rows: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """rows (..., part, component) with what `moved` says of their part."""
+    if moved is None:
+        return rows
+    joined = rows.join(moved, "part", "left").withColumns({"component": F.when(F.col("root").isNull(), F.col("component")).otherwise(F.col("least")), "part": F.coalesce("root", "part")})
+    return joined.select(*rows.columns)
 
 
 def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
@@ -404,13 +434,20 @@ def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
     docs = bounded(docs.select("doc_id", "text", *kept))
     shared = spark.sparkContext.broadcast(frequency_classes(docs))
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
-    rows = written(docs.mapInArrow(trimmed(_prefixed(shared, kept)), f"doc_id bigint, n bigint, cid binary, gid binary, prefix binary, bits binary, words binary{kinds}"), "prefixes")
+    rows = written(docs.mapInArrow(trimmed(_prefixed(shared, kept)), f"doc_id bigint, n bigint, cid binary, gid binary, prefix binary, bits binary, words binary{kinds}").drop("prefix"), "prefixes")
     classes = written(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("gid").alias("gid"), F.max("bits").alias("bits"), F.max("words").alias("words")), "classes")
     entries = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // 2_000_000))
-    packed = rows.where("n > 0").select("gid", "n", "prefix").mapInArrow(trimmed(_packed(buckets, shared)), "bucket int, groups binary, entries binary")
+    buckets = max(1, -(-entries // BUCKET))
+
+    def entered(batches):  # the prefixes are made again: they would take more disk than all else
+        yield from _packed(buckets, shared)(_prefixed(shared, ())(batches))
+
+    packed = docs.mapInArrow(trimmed(entered), "bucket int, groups binary, entries binary")
     found = written(packed.repartition(buckets, "bucket").mapInArrow(trimmed(_met(shared)), "kind int, token bigint, a binary, b binary, place bigint"), "found")
 
+    slim = written(rows.select("doc_id", "n", "cid", *kept), "rows")
+    discard(rows)
+
     # Centres of groups stand for them; each member is also paired with its own centre.
     centres = written(classes.groupBy("gid").agg(F.min("cid").alias("centre"), F.count("*").alias("members")), "centres")
     own = classes.join(centres.where("members > 1"), "gid").select(F.col("centre").alias("a"), F.col("cid").alias("b"))
@@ -424,7 +461,9 @@ def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
     links = _links(tried, classes, docs)
     used += [tried, links]
     found_in = components(links, classes.select(F.col("cid").alias("v"), F.col("rep").alias("rank")))
-    named = classes.join(found_in.withColumnRenamed("v", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("part"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
+    named = classes.select("cid", "gid", "rep").join(_small(found_in).withColumnRenamed("v", "cid"), "cid", "left")
+    named = written(named.select("cid", "gid", F.coalesce("root", "cid").alias("part"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component")), "named")
+    used += [named, found_in]
 
     # What the centres could not settle: lists that still hold several components. A group with several members is a list of its own, and of one with each group that it meets.
     many = centres.where("members > 1").select("gid")
@@ -432,40 +471,47 @@ def _classified(docs: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
     touched = touched.union(many.select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     both = touched.select(F.xxhash64("a", "b").alias("token"), F.explode(F.array_distinct(F.array("a", "b"))).alias("gid"), F.lit(0).cast("bigint").alias("place"))
     lists = found.where("kind = 1").select("token", F.col("a").alias("gid"), "place").union(both)
-    probes = None
-    for most in ROUNDS:
-        named = written(named, "named")
-        used.append(named)
-        member = classes.join(named, "cid").select("cid", "gid", "n", "words", "part")
-        if probes is None:
-            lists = written(_open_lists(lists, member), "lists")
-        else:
-            lists = lists.join(probes.select("token").distinct(), "token", "left_semi")
+    lists = written(_open_lists(lists, named), "lists")
+    gids = written(lists.select("gid").distinct(), "gids")
+    member = written(classes.join(_small(gids), "gid", "left_semi").select("cid", "gid", "n", "words").join(named.select("cid", "part"), "cid"), "members")
+    used += [lists, gids, member]
+    probes = moved = None  # moved: (part, root, least) of the components that rounds have joined
+    for most in () if lists.isEmpty() else ROUNDS:
         near = written(_candidates(lists, member, probes, most), "candidates")
         more = written(_ordered(near).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(more)
         probes = written(near.where("more").select("token", F.col("a").alias("cid")).distinct(), "probes")
-        used += [lists, near, more, probes]
+        used += [near, more, probes]
         last = probes.isEmpty()
         further = more if more.isEmpty() else _links(more, classes, docs)
-        if further.isEmpty():
-            if last:
-                break
-            continue
-        # Components of components: few vertices, whatever the size of each.
-        bridges = further
-        for side in ("a", "b"):
-            bridges = bridges.join(named.select(F.col("cid").alias(side), F.col("part").alias(f"{side}p")), side)
-        ranks = named.select(F.col("part").alias("v"), F.col("component").alias("rank")).distinct()
-        merged = components(bridges.select(F.col("ap").alias("a"), F.col("bp").alias("b")).where("a != b").distinct(), ranks)
-        merged = merged.select(F.col("v").alias("part"), "root", F.col("component").alias("least"))
-        named = named.join(merged, "part", "left").select("cid", F.coalesce("root", "part").alias("part"), F.when(F.col("root").isNull(), F.col("component")).otherwise(F.col("least")).alias("component"))
         used.append(further)
+        if not further.isEmpty():
+            # Components of components: few vertices, whatever the size of each.
+            ends = named.join(_small(written(further.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ends")), "cid", "left_semi").select("cid", "part", "component")
+            ends = written(_moved(ends, moved), "ends")
+            bridges = further
+            for side in ("a", "b"):
+                bridges = bridges.join(ends.select(F.col("cid").alias(side), F.col("part").alias(f"{side}p")), side)
+            bridges = written(bridges.select(F.col("ap").alias("a"), F.col("bp").alias("b")).where("a != b").distinct(), "bridges")
+            merged = components(bridges, ends.select(F.col("part").alias("v"), F.col("component").alias("rank")).distinct())
+            used += [ends, bridges, merged]
+            merged = merged.select(F.col("v").alias("part"), "root", F.col("component").alias("least"))
+            if moved is not None:
+                before = _moved(moved.select(F.col("part").alias("from"), F.col("root").alias("part"), F.col("least").alias("component")), merged).select(F.col("from").alias("part"), F.col("part").alias("root"), F.col("component").alias("least"))
+                merged = before.union(merged.join(moved.select("part"), "part", "left_anti"))
+            moved = written(merged, "moved")
+            used.append(moved)
         if last:
             break
-    named = written(named, "components")
+        # What asks again, and the lists it asks in.
+        again = probes.select("token").distinct()
+        lists = written(lists.join(again, "token", "left_semi"), "lists")
+        member = member.join(lists.select("gid").distinct(), "gid", "left_semi").withColumn("component", F.lit(None).cast("bigint"))
+        member = written(_moved(member, moved).drop("component"), "members")
+        used += [lists, member]
+    named = written(_moved(named.drop("gid"), moved), "components")
     discard(classes, *used)
-    return rows.select("doc_id", "n", "cid", *kept), named
+    return slim, named
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skeinmatch.llm import binpack, bpe_transducer, lang_ecoc, license_tfidf, prefix_join, qgram_decon, scaled_sketch, shingles, warc_zip, wavelet, weak_toxicity
+from skeinmatch.llm import binpack, bpe_transducer, components, lang_ecoc, license_tfidf, prefix_join, qgram_decon, scaled_sketch, shingles, warc_zip, wavelet, weak_toxicity
 from skeinmatch.llm.queries import BYTE_BPE, QUERIES, WORD_BPE
 
 WORDS = "alpha beta gamma delta omega river stone cloud ember frost maple cedar quiet amber".split()
@@ -166,11 +166,11 @@ def test_jaccard_join(spark, odd):
     assert len(repeated) == 2 and repeated[0] == repeated[1]
 
 
-@pytest.mark.parametrize("settings", [{}, {"CHUNK": 7, "PIECE": 5, "BROADCAST_IDS": 0}])
+@pytest.mark.parametrize("settings", [{}, {"CHUNK": 7, "PIECE": 5, "BROADCAST_IDS": 0, "ONE_TASK": -1}])
 def test_jaccard_join_long_lists(spark, monkeypatch, settings):
     """Near copies whose lists are long, in one piece and in many, with ids to verify broadcast or shuffled."""
     for name, value in settings.items():
-        monkeypatch.setattr(prefix_join, name, value)
+        monkeypatch.setattr(components if name == "ONE_TASK" else prefix_join, name, value)
     rng = random.Random(8)
     base = prose(rng, 50).split()
     texts = []
