@@ -1,15 +1,18 @@
 """BPE encoding and decoding through a minimal acyclic transducer (operator 7).
 
-The corpus's most frequent pieces (a word with the space before it) are compiled with their id sequences into a minimal acyclic
-automaton that shares prefixes and suffixes; counts on its transitions number the pieces, and the number leads to the ids. The file
-is memory-mapped by each worker. Pieces that are not in it are merged exactly by the tokenizers library.
+The corpus's most frequent words (with the space before them) are compiled with their id sequences into a minimal acyclic
+automaton that shares prefixes and suffixes; counts on its transitions number the words, and the number leads to the ids. The file
+is memory-mapped by each worker. Words that are not in it are merged exactly by the tokenizers library.
 
-Cutting a text before a space that a byte other than white space follows never cuts a piece of the byte-level pattern, so ids of
-the parts are ids of the text; where the next character might be white space of any alphabet the text is not cut.
+Plain texts, of ASCII and the Latin letters of two bytes, are cut into the words of the byte-level pattern. Others are cut only before
+a space that a byte other than white space of any alphabet follows, which never cuts such a word, so ids of the parts are ids of the
+text; of these parts the plain ones are cut into words, and the library takes the rest whole.
 """
 
 from __future__ import annotations
 
+import codecs
+import functools
 import hashlib
 import json
 import os
@@ -17,29 +20,49 @@ import re
 import struct
 from array import array
 from collections import Counter
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_uri, bounded, chunked, fresh_path, Memo, open_fs, text_column, trimmed, written
+from .common import as_uri, bounded, chunked, fresh_path, open_fs, text_column, trimmed, written
 
-#: Pieces in the lexicon, and bytes of the longest one.
-LEXICON, LONGEST = 65536, 32
-# Fixed value: the byte-level vocabulary's word pattern, for ASCII.
-_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+#: Words in the lexicon, and bytes of the longest one.
+LEXICON, LONGEST = 262144, 32
+#: Words whose ids a worker remembers from one batch to the next.
+REMEMBERED = 160_000
+# Fixed value: the byte-level vocabulary's word pattern, for plain texts, in which bytes over 127 are parts of letters.
+_WORD = re.compile(rb" ?[A-Za-z\x80-\xff]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+")
+#: ASCII and the letters from U+00C0 to U+024F.
+_PLAIN = re.compile(rb"(?:[\x00-\x7f]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])*+")
 _CUT = re.compile(rb" (?![\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3]|\Z)")
 _MAGIC = b"SKTRANS1"
 _BATCH = 2 << 20
 
 
+def plain(text: bytes) -> bool:
+    """Whether the word pattern for plain texts holds for the text; one that might name a special token is not plain."""
+    return _PLAIN.fullmatch(text) is not None and b"<|" not in text
+
+
 def pieces(text: bytes) -> list[bytes]:
     """The text cut before single spaces; the pieces join to the text."""
     first, *rest = _CUT.split(text)
     return [first, *[b" " + p for p in rest]]
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a plain text; else those of its plain pieces, and the other pieces whole. They join to the text."""
+    if plain(text):
+        return _WORD.findall(text)
+    out: list[bytes] = []
+    for p in pieces(text):
+        out.extend(_WORD.findall(p) if plain(p) else (p,))
+    return out
+
+
 def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
     """The file of a minimal acyclic transducer from sorted distinct words to id sequences.
 
@@ -81,7 +104,7 @@ def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
             skips.append(skip)
             skip += reach[t]
     arrays = [np.array(keys, "<u4"), np.array(targets, "<u4"), np.array(skips, "<u4"), np.array([f for f, _ in finished], "u1")]
-    arrays += [np.cumsum([0, *map(len, ids)]).astype("<u4"), np.array([i for x in ids for i in x], "<u4")]
+    arrays += [np.cumsum([0, *map(len, ids)]).astype("<u4"), np.concatenate([np.empty(0, "<u4"), *ids]).astype("<u4")]
     head = struct.pack("<8s8I", _MAGIC, len(finished) - 1, len(words), *(len(a) for a in arrays))
     return head + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 4) for a in arrays)
 
@@ -136,57 +159,67 @@ class Transducer:
         return rank
 
 
+@functools.lru_cache(maxsize=1)
+def vocabulary(tokenizer_path: str):
+    """The tokenizer without truncation and padding, and the bytes of its ids; a worker reads them once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    table = token_bytes(tokenizer_path)
+    held = np.empty(len(table), object)
+    held[:] = table
+    return tokenizer, held
+
+
 class Codec:
     """Encodes and decodes whole texts as the tokenizers library does with the same vocabulary."""
 
     def __init__(self, transducer: Transducer, tokenizer_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.transducer, self.tokenizer = transducer, Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.model, self.shown, self.memo = self.tokenizer.model, byte_letters(), Memo(80_000)
-        self.table = token_bytes(tokenizer_path)
+        self.transducer, self.remembered = transducer, {}
+        self.tokenizer, self.table = vocabulary(tokenizer_path)
+        self.model, self.shown = self.tokenizer.model, "".join(map(byte_letters().__getitem__, range(256)))
 
     def encode(self, texts: list[bytes | None]):
         """Yields the ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         for lo, hi in chunked(texts, _BATCH):
-            cut = [pieces(t) if t else [] for t in texts[lo:hi]]
-            yield from map(b"".join, self.memo.values(cut, self._pieces))
-
-    def _known(self, words: list[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
-        """Ids of the words in the lexicon, and the others."""
+            cut = [words_of(t) if t else [] for t in texts[lo:hi]]
+            seen = set().union(*cut)
+            if len(self.remembered) > REMEMBERED:  # forget those that this batch lacks
+                self.remembered = {w: self.remembered[w] for w in seen & self.remembered.keys()}
+            known = self.remembered
+            known.update(self.ids(list(seen.difference(known))))
+            for words in cut:
+                yield b"".join(map(known.__getitem__, words))
+
+    def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word: by the lexicon; else, if plain, merged by the library's model; else by the whole library tokenizer."""
         ranks = self.transducer.ranks(words)
         found = ranks[ranks >= 0]
         starts, held = self.transducer.starts, self.transducer.ids
-        new = [w for w, r in zip(words, ranks.tolist()) if r < 0]
-        old = (w for w, r in zip(words, ranks.tolist()) if r >= 0)
-        return {w: held[b:e].tobytes() for w, b, e in zip(old, starts[found].tolist(), starts[found + 1].tolist())}, new
-
-    def _pieces(self, seen: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each piece: by the lexicon; else, if ASCII, word by word of the pattern, by the lexicon or merged by the library's
-        model; else by the whole library tokenizer."""
-        ids, new = self._known(seen)
-        parts = {p: _WORD.findall(p) for p in new if p.isascii() and b"<|" not in p}
-        other = [p for p in new if p not in parts]
-        words, unseen = self._known(list(dict.fromkeys(w for x in parts.values() for w in x)))
-        tokenize, shown = self.model.tokenize, self.shown
-        for w in unseen:
-            words[w] = array("I", [t.id for t in tokenize(w.decode("latin-1").translate(shown))]).tobytes()
-        for p, x in parts.items():
-            ids[p] = b"".join(map(words.__getitem__, x))
-        for p, e in zip(other, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in other], add_special_tokens=False)):
-            ids[p] = array("I", e.ids).tobytes()
+        ids = dict(zip(compress(words, (ranks >= 0).tolist()), (held[b:e].tobytes() for b, e in zip(starts[found].tolist(), starts[found + 1].tolist()))))
+        tokenize, shown, read, other = self.model.tokenize, self.shown, codecs.charmap_decode, []
+        for w in compress(words, (ranks < 0).tolist()):
+            if plain(w):
+                ids[w] = array("I", [t.id for t in tokenize(read(w, "strict", shown)[0])]).tobytes()
+            else:
+                other.append(w)
+        if other:
+            for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)):
+                ids[w] = array("I", e.ids).tobytes()
         return ids
 
     def decode(self, ids: bytes) -> bytes:
         """The text's UTF-8; bytes that are not UTF-8 become replacement characters."""
-        out = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        out = b"".join(self.table[np.frombuffer(ids, "<u4")].tolist())
         return out if _is_utf8(out) else out.decode("utf-8", "replace").encode()
 
 
 def _is_utf8(data: bytes) -> bool:
+    if data.isascii():
+        return True
     try:
         data.decode("utf-8")
     except UnicodeDecodeError:
@@ -209,39 +242,37 @@ def token_bytes(tokenizer_path: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
-def frequent_pieces(docs: DataFrame, size: int = LEXICON) -> list[bytes]:
-    """The most frequent pieces over all documents, at most `size`; pieces of one count are all taken or none."""
+def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[bytes]:
+    """The most frequent words over all documents, at most `size`; words of one count are all taken or none."""
 
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:
             for t in text_column(batch, "text"):
                 if t:
-                    seen.update(pieces(t))
+                    seen.update(words_of(t))
             if len(seen) > 250_000:
                 yield row(seen)
                 seen = Counter()
         yield row(seen)
 
     def row(seen):
-        kept = [(p, n) for p, n in seen.items() if len(p) <= LONGEST]
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["piece", "n"])
-
-    counts = bounded(docs).select("text").mapInArrow(trimmed(count), "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    counts = written(counts.where("n > 1"), "pieces")
-    # The least count that leaves at most `size` pieces, from a row for each different count; then only those pieces come here.
-    histogram = counts.groupBy("n").agg(F.count("*").alias("pieces"))
-    above = histogram.withColumn("total", F.sum("pieces").over(Window.orderBy(F.desc("n"))))
+        kept = [(w, n) for w, n in seen.items() if len(w) <= LONGEST]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+
+    counts = bounded(docs).select("text").mapInArrow(trimmed(count), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(counts.where("n > 1"), "words")
+    # The least count that leaves at most `size` words, from a row for each different count; then only those words come here.
+    histogram = counts.groupBy("n").agg(F.count("*").alias("words"))
+    above = histogram.withColumn("total", F.sum("words").over(Window.orderBy(F.desc("n"))))
     least = above.where(F.col("total") <= size).agg(F.min("n")).first()[0]
-    return [] if least is None else [bytes(r["piece"]) for r in counts.where(F.col("n") >= least).select("piece").collect()]
+    return [] if least is None else [bytes(r["word"]) for r in counts.where(F.col("n") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON) -> bytes:
-    from tokenizers import Tokenizer
-
-    words = sorted(frequent_pieces(docs, size))
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    return compile_lexicon(words, [tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words])
+    words = sorted(frequent_words(docs, size))
+    ids = Codec(Transducer(compile_lexicon([], [])), tokenizer_path).ids(words)
+    return compile_lexicon(words, [np.frombuffer(ids[w], "<u4") for w in words])
 
 
 def lexicon_file(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None) -> str:
@@ -258,7 +289,7 @@ def lexicon_file(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None) ->
 def encoded(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = None) -> DataFrame:
     """docs (doc_id, text, ...): doc_id, n_tokens, ids_sha256 (over little-endian unsigned 32-bit integers), decoded_sha256.
 
-    Null and empty texts have no ids; very long ones are encoded whole. Ties do not arise: equal pieces have equal ids. Repeated rows
+    Null and empty texts have no ids; very long ones are encoded whole. Ties do not arise: equal words have equal ids. Repeated rows
     repeat, ids may be null. An empty table gives an empty result. Other columns are not read. Nothing but the digests leaves a worker."""
     uri = lexicon_file(docs, tokenizer_path, lexicon)
 

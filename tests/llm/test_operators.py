@@ -74,6 +74,28 @@ def test_encoders_on_mixed_alphabets():
         assert np.frombuffer(y, "<u4").tolist() == word.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_plain_texts():
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0xC0, 0x250)]  # two of them, the signs for times and divided by, are no letters
+    parts = [*letters, *(chr(c) for c in range(128)), *" \n'" * 40, "'s", "'LL", "  ", " \n ", "été", " The", "42", "..."]
+    texts = ["".join(letters), *("".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(3000))]
+    byte = Tokenizer.from_file(BYTE_BPE)
+    codec = bpe_transducer.Codec(bpe_transducer.Transducer(bpe_transducer.compile_lexicon([], [])), BYTE_BPE)
+    assert sum(bpe_transducer.plain(t.encode()) for t in texts) > 1500
+    for t, x in zip(texts, codec.encode([t.encode() for t in texts])):
+        assert b"".join(bpe_transducer.words_of(t.encode())) == t.encode()
+        assert np.frombuffer(x, "<u4").tolist() == byte.encode(t, add_special_tokens=False).ids and codec.decode(x) == t.encode()
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(bpe_transducer, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe_transducer, "_BATCH", 30)
+    texts = [f"one word{i % 7} two{i} été—{i % 3}" for i in range(60)]
+    byte = Tokenizer.from_file(BYTE_BPE)
+    codec = bpe_transducer.Codec(bpe_transducer.Transducer(bpe_transducer.compile_lexicon([], [])), BYTE_BPE)
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode([t.encode() for t in texts])] == [byte.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_transducer_is_minimal_and_exact():
     words = sorted({b"walk", b"walks", b"walked", b"talk", b"talks", b"talked", b""})
     t = bpe_transducer.Transducer(bpe_transducer.compile_lexicon(words, [[i, i] for i in range(len(words))]))
