@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_uri, bounded, chunked, fresh_path, open_fs, text_column, trimmed, written
+from .common import as_uri, bounded, chunked, fresh_path, open_fs, text_column, tokenizer_of, trimmed, written
 
 #: Words in the lexicon, and bytes of the longest one.
 LEXICON, LONGEST = 262144, 32
@@ -161,17 +161,11 @@ class Transducer:
 
 @functools.lru_cache(maxsize=1)
 def vocabulary(tokenizer_path: str):
-    """The tokenizer without truncation and padding, and the bytes of its ids; a worker reads them once."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    """The tokenizer and the bytes of its ids; a worker reads them once."""
     table = token_bytes(tokenizer_path)
     held = np.empty(len(table), object)
     held[:] = table
-    return tokenizer, held
+    return tokenizer_of(tokenizer_path), held
 
 
 class Codec:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
 from collections import Counter
@@ -143,6 +145,18 @@ def trimmed(fn):
     return run
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizer_of(path: str):
+    """The tokenizers library's tokenizer without truncation and padding; a worker reads its file once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(32))

@@ -10,9 +10,9 @@ ids are null, ids, lengths, ones before each frame, sizes of the frames; then th
 
 from __future__ import annotations
 
+import codecs
 import io
 import json
-import os
 import re
 import struct
 import uuid
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_transducer import byte_letters
-from .common import Memo, as_uri, bounded, chunked, fresh_path, mix, open_fs, text_column, trimmed, written
+from .common import Memo, as_uri, bounded, chunked, fresh_path, mix, open_fs, text_column, tokenizer_of, trimmed, written
 
 END = 1
 #: Tokens after which a partition begins another shard file.
@@ -275,19 +275,14 @@ class WordEncoder:
     PLAIN = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])*")
 
     def __init__(self, tokenizer_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = tokenizer_of(tokenizer_path)
         self.model = self.tokenizer.model
-        self.shown = byte_letters()
+        self.shown = "".join(map(byte_letters().__getitem__, range(256)))
         self.runs, self.words = Memo(100_000), Memo(200_000, hot=0)
 
     def _merged(self, words: list[bytes]) -> dict[bytes, bytes]:
-        tokenize, shown = self.model.tokenize, self.shown
-        made = {w: array("I", [t.id for t in tokenize(w.decode("latin-1").translate(shown))]).tobytes() for w in words}
+        tokenize, shown, read = self.model.tokenize, self.shown, codecs.charmap_decode
+        made = {w: array("I", [t.id for t in tokenize(read(w, "strict", shown)[0])]).tobytes() for w in words}
         if b"\n" in made:
             made[b"\n"] = b"\xff\xff\xff\xff"  # no id; it parts the runs
         return made
